@@ -20,6 +20,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: computed once, kept in the shared folder, without lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a reliable checkpoint: computed once, kept in the shared folder, without lineage.
+
+    A checkpoint keeps the size estimate of the plan that made it. Over the rounds of an iteration such estimates multiply
+    until their arithmetic takes longer than the work, so the result is a plain scan of the kept rows, whose size adaptive
+    execution measures.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
