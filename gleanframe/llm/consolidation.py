@@ -42,11 +42,27 @@ def _strip(edges: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, removed
 
 
+def _jump(arcs: DataFrame) -> DataFrame:
+    """Each active arc takes over what the arc at which it has arrived has reached."""
+    ahead = arcs.select(
+        F.col("v").alias("end"), F.col("back").alias("previous"), F.col("end").alias("end2"), F.col("previous").alias("previous2"), F.col("low").alias("low2"), F.col("active").alias("active2")
+    )
+    moved = arcs.where("active").join(ahead, ["end", "previous"], "left").select(
+        "v",
+        "back",
+        F.coalesce("end2", "end").alias("end"),
+        F.coalesce("previous2", "previous").alias("previous"),
+        F.least("low", "low2").alias("low"),
+        F.coalesce("active2", F.lit(False)).alias("active"),
+    )
+    return moved.unionByName(arcs.where("not active"))
+
+
 def rank_chains(chain: DataFrame) -> DataFrame:
     """Where the chains of ``chain`` (v, a, b: vertices of degree two) end, by pointer jumping.
 
     Each vertex has two arcs, one per direction; an arc points at the vertex it has reached and where it came from, and in
-    each round takes over what that arc has reached, so a chain of n vertices needs log2 n rounds. Returns one row an arc:
+    each step takes over what that arc has reached, so a chain of n vertices needs log2 n steps, two to a round. Returns one row an arc:
     (v, back, end, low, active); ``active`` arcs run in a circle, of which ``low`` is the least vertex.
     """
     arcs = chain.select(
@@ -60,20 +76,7 @@ def rank_chains(chain: DataFrame) -> DataFrame:
     arcs = cut(arcs.select("v", "back", "end", "previous", F.col("v").alias("low"), F.lit(True).alias("active")))
     before = None
     while True:
-        ahead = arcs.select(
-            F.col("v").alias("end"), F.col("back").alias("previous"), F.col("end").alias("end2"), F.col("previous").alias("previous2"), F.col("low").alias("low2"), F.col("active").alias("active2")
-        )
-        moving = arcs.where("active").join(ahead, ["end", "previous"], "left")
-        arcs = cut(
-            moving.select(
-                "v",
-                "back",
-                F.coalesce("end2", "end").alias("end"),
-                F.coalesce("previous2", "previous").alias("previous"),
-                F.least("low", "low2").alias("low"),
-                F.coalesce("active2", F.lit(False)).alias("active"),
-            ).unionByName(arcs.where("not active"))
-        )
+        arcs = cut(_jump(_jump(arcs)))
         now = arcs.where("active").agg(F.count(F.lit(1)), F.sum(F.col("low").cast("decimal(38,0)"))).first()
         if not now[0] or now == before:
             return arcs
