@@ -29,7 +29,7 @@ def exact_groups(items: DataFrame, key: str, content: str) -> DataFrame:
 
 def sign_bits(vector: str) -> Column:
     """A 64-bit fingerprint of a vector of 64 numbers: bit i from the left is set where element i is positive."""
-    bit = F.transform(F.col(vector), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("bigint"), (63 - i).cast("int"))).otherwise(0))
+    bit = F.transform(F.col(vector), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), (63 - i).cast("int"))).otherwise(0))
     return F.aggregate(bit, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
 

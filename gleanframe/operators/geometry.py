@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 
 def _union(boxes) -> float:
@@ -23,7 +24,7 @@ def _union(boxes) -> float:
     return area
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def union_area(boxes: pd.Series) -> pd.Series:
     """The area that boxes (array of [left, top, right, bottom]) cover together; 0 for none, NULL for NULL."""
     return boxes.map(lambda b: None if b is None else _union([tuple(x) for x in b]))
@@ -41,7 +42,7 @@ def main_subject(objects: Column) -> Column:
     return F.array_min(ranked)["i"]
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def suppress_overlaps(boxes: pd.Series, scores: pd.Series, limit: pd.Series) -> pd.Series:
     """Indexes of the boxes kept, surest first, when those that overlap a kept one by more than ``limit`` are dropped."""
 
