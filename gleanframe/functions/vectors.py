@@ -13,7 +13,7 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, clamped to [-1, 1]; NULL if one is zero or NULL."""
     value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
 def vector_status(v: Column, dimensions: int, tolerance: float = 1e-4) -> Column:
