@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.llm.neighbours import IndexSettings, build_index, list_sizes, post
-from gleanframe.llm.vectors import CentroidGraph, blocked, float_lists, in_batches, lists_of, matrix
+from gleanframe.llm.vectors import CentroidGraph, blocked, float_lists, in_batches, matrix
 from gleanframe.session import cut
 
 
@@ -31,8 +31,8 @@ class ClusterSettings:
 
     fan: int = 24
     most_leaves: int = 20000
-    cell_rows: int = 2048
-    rounds: int = 3
+    cell_rows: int = 4096
+    rounds: int = 4
     index: IndexSettings = IndexSettings()
 
 
@@ -208,13 +208,17 @@ def _raw(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _merged_features(features: DataFrame, graph: CentroidGraph, limit: float, most: int) -> DataFrame:
-    """Summaries after one round of Ward agglomeration in each cell; a crowded cell is merged in parts."""
+def _merged_features(features: DataFrame, graph: CentroidGraph, limit: float, most: int, seed: int) -> DataFrame:
+    """Summaries after one round of Ward agglomeration in each cell. A crowded cell is merged in slices along a direction of
+    this round, in which summaries that are close mostly share a slice."""
     shared = features.sparkSession.sparkContext.broadcast(graph)
 
     def locate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, _ = shared.value.search(matrix(batch.column(2)), 4)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[:, 0].astype(np.int32))], ["id", "n", "mean", "cell"])
+        x = matrix(batch.column(2))
+        ids, _ = shared.value.search(x, 4)
+        direction = np.random.default_rng(seed).standard_normal(x.shape[1])
+        along = 1 / (1 + np.exp(-1.7 * (x @ direction)))  # about even between 0 and 1
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[:, 0].astype(np.int32)), pa.array(along)], ["id", "n", "mean", "cell", "along"])
 
     def merge(table: pa.Table) -> pa.Table:
         mean, n = _raw(table["mean"]), table["n"].to_numpy()
@@ -225,13 +229,13 @@ def _merged_features(features: DataFrame, graph: CentroidGraph, limit: float, mo
         np.add.at(sums, group, mean * n[:, None])
         return pa.table({"id": pa.array(table["id"].to_numpy()[who]), "n": pa.array(total.astype(np.int64)), "mean": float_lists(sums / total[:, None])})
 
-    located = cut(features.mapInArrow(in_batches(locate), _FEATURES + ", cell int"))
+    located = cut(features.mapInArrow(in_batches(locate), _FEATURES + ", cell int, along double"))
     sizes = dict(map(tuple, located.groupBy("cell").count().collect()))
     crowded = {c: -(-s // most) for c, s in sizes.items() if s > most}
     part = F.lit(0)
     if crowded:
         parts = F.create_map(*(F.lit(x) for pair in crowded.items() for x in pair))
-        part = F.coalesce(F.pmod(F.xxhash64("id"), F.try_element_at(parts, F.col("cell"))).cast("int"), F.lit(0))
+        part = F.coalesce(F.floor(F.col("along") * F.try_element_at(parts, F.col("cell"))).cast("int"), F.lit(0))
     return located.withColumn("part", part).groupBy("cell", "part").applyInArrow(merge, _FEATURES)
 
 
@@ -318,15 +322,18 @@ def cluster_vectors(
     features = _leaf_features(postings.where("home"), vector, limit, settings)
     for r in range(settings.rounds):
         cells = graph if r == 0 else build_index(learnt, key, vector, rows, index, seed=r)
-        features = _merged_features(features, cells, limit, settings.cell_rows)
+        features = _merged_features(features, cells, limit, settings.cell_rows, r)
     clusters = cut(features.where(F.col("n") >= least))
     sizes = list_sizes(postings)
     shared = vectors.sparkSession.sparkContext.broadcast(graph)
+    reach = 2 * float(np.sin(np.arccos(limit) / 4))
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # A cluster goes wider than a vector: to all lists in which its members may be.
-        ids, cosines = shared.value.search(matrix(batch.column(2)), 2 * index.width)
-        row, rank = np.nonzero(lists_of(cosines, 1 + 4 * (index.ratio - 1) + 0.2))
+        # Where a member's nearest centre may be: no further than the cluster's own nearest and twice the radius within
+        # which every two members reach the limit.
+        ids, cosines = shared.value.search(matrix(batch.column(2)), 6 * index.width)
+        distance = np.sqrt(np.maximum(2 - 2 * cosines, 0))
+        row, rank = np.nonzero((cosines > -1.5) & (distance <= distance[:, :1] + 2 * reach))
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(ids[row, rank].astype(np.int32))], ["id", "mean", "list"])
 
     in_lists = clusters.mapInArrow(in_batches(spread), "id bigint, mean array<float>, list int")

@@ -55,7 +55,9 @@ def float_lists(x: np.ndarray) -> pa.ListArray:
 def sample(vectors: DataFrame, key: str, vector: str, share: float, most: int, seed: int = 0) -> np.ndarray:
     """Unit rows of about that share of records, chosen by a hash of their key, ``most`` at most; sorted by the hash."""
     h = F.xxhash64(F.lit(seed), F.col(key))
-    chosen = vectors.select(h.alias("h"), vector).where(F.col("h") < int(-(2**63) + min(share, 1.0) * (2**64 - 1)))
+    chosen = vectors.select(h.alias("h"), vector)
+    if share < 1:
+        chosen = chosen.where(F.col("h") < int(share * 2**53) * 2**11 - 2**63)
     table = chosen.limit(most).toArrow()
     x = matrix(table.column(1)) if table.num_rows else np.zeros((0, 0))
     return x[np.argsort(table.column(0).to_numpy(), kind="stable")] if len(x) else x
@@ -111,24 +113,26 @@ class CentroidGraph:
             links[i : i + len(s), :degree] = np.argpartition(-s, degree - 1, 1)[:, :degree] if n > 1 else 0
         links[:, degree] = (np.arange(n) + 1) % n
         links[:, degree + 1] = (np.arange(n) - 1) % n
-        hubs = np.unique(np.linspace(0, n - 1, max(1, int(2 * np.sqrt(n)))).astype(int))
+        # Single precision finds the same lists at half the cost; cosines of results are computed elsewhere, in double.
+        centres = centres.astype(np.float32)
+        hubs = np.unique(np.linspace(0, n - 1, max(1, int(4 * np.sqrt(n)))).astype(int))
         return CentroidGraph(centres, links, hubs)
 
     def search(self, x: np.ndarray, width: int, steps: int = 8, grow: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``x`` up to ``width`` near centres, nearest first, with their cosines; -1 and -2 where fewer."""
         ids, cosines = np.full((len(x), width), -1, np.int32), np.full((len(x), width), -2.0)
         for i in range(0, len(x), 512):
-            ids[i : i + 512], cosines[i : i + 512] = self._search(x[i : i + 512], width, steps, grow)
+            ids[i : i + 512], cosines[i : i + 512] = self._search(x[i : i + 512].astype(np.float32), width, steps, grow)
         return ids, cosines
 
     def _search(self, x: np.ndarray, width: int, steps: int, grow: int) -> tuple[np.ndarray, np.ndarray]:
-        b, n = len(x), len(self.centres)
+        b = len(x)
         rows = np.arange(b)[:, None]
         near = x @ self.centres[self.hubs].T
         first = min(grow, len(self.hubs))
         start = np.argpartition(-near, first - 1, 1)[:, :first]
-        ids = np.full((b, width + n * 0), -1, np.int64)
-        cos = np.full((b, width), -2.0)
+        ids = np.full((b, width), -1, np.int64)
+        cos = np.full((b, width), -2.0, np.float32)
         first = min(first, width)
         ids[:, :first] = self.hubs[start[:, :first]]
         cos[:, :first] = near[rows, start[:, :first]]
