@@ -91,7 +91,8 @@ def test_chains_and_bridges_are_no_clusters(spark):
     df = spark.createDataFrame(chain + tight, "photo_id string, vector array<float>")
     got = {r["cluster_id"] for r in cluster_vectors(df, "photo_id", "vector", 0.85, 5).collect()}
     assert got == {"b0"}
-    near = spark.createDataFrame(tight + [("c", angle(3.5))], "photo_id string, vector array<float>")
+    # c reaches the limit (0.5548) with the last of them only
+    near = spark.createDataFrame(tight + [("c", angle(3.58))], "photo_id string, vector array<float>")
     assert cluster_vectors(near, "photo_id", "vector", 0.85, 5).count() == 0
     assert cluster_vectors(df.limit(0), "photo_id", "vector", 0.85, 5).count() == 0
 
