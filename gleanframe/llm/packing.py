@@ -23,6 +23,14 @@ from gleanframe.session import cut
 NUMBERED_AT_ONCE = 1 << 20
 
 
+#: Above any capacity: a window and a size together are one number.
+_SIZES = 1 << 40
+
+
+def _slot(window: int, size: int) -> int:
+    return window * _SIZES + size
+
+
 @dataclass
 class Plan:
     """For each size, intervals of item numbers: (size, first number, first container, items of the size in a container)."""
@@ -118,19 +126,18 @@ def pack(items: DataFrame, windows: dict[int, int], key: str, size: str) -> Data
     plans = {w: plan_containers(c, int(windows[w])) for w, c in counts.items() if c}
     if not plans:
         return spark.createDataFrame([], columns)
-    # Number the items of each size: within salts where there are many, then salts one after another.
-    hot = [(w, s, -(-c // NUMBERED_AT_ONCE)) for w, sizes in counts.items() for s, c in sizes.items() if c > NUMBERED_AT_ONCE]
-    salts = F.lit(1)
-    for w, s, n in hot:
-        salts = F.when((F.col("window_id") == w) & (F.col("n_units") == s), F.lit(n)).otherwise(salts)
-    salted = split.withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), salts).cast("int")) if hot else split.withColumn("salt", F.lit(0))
-    starts: dict[tuple[int, int, int], int] = {}
+    # Number the items of each size: within salts where there are many, then salts one after another. At most as many
+    # sizes are hot as the capacities have units.
+    hot = {_slot(w, s): -(-c // NUMBERED_AT_ONCE) for w, sizes in counts.items() for s, c in sizes.items() if c > NUMBERED_AT_ONCE}
+    salted = split.withColumn("salt", F.lit(0))
+    starts: dict[int, np.ndarray] = {}
     if hot:
-        many = salted.where(salts > 1).groupBy("window_id", "n_units", "salt").count().orderBy("window_id", "n_units", "salt").collect()
-        before: dict[tuple[int, int], int] = {}
-        for w, s, salt, c in many:
-            starts[w, s, salt] = before.get((w, s), 0)
-            before[w, s] = starts[w, s, salt] + c
+        slot = F.col("window_id").cast("bigint") * _SIZES + F.col("n_units")
+        parts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), slot), F.lit(1))
+        salted = split.withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), parts).cast("int"))
+        for w, s, salt, c in salted.where(parts > 1).groupBy("window_id", "n_units", "salt").count().collect():
+            starts.setdefault(_slot(w, s), np.zeros(hot[_slot(w, s)] + 1, np.int64))[salt + 1] = c
+        starts = {k: np.cumsum(v) for k, v in starts.items()}
     order = Window.partitionBy("window_id", "n_units", "salt").orderBy(key, "piece_no")
     numbered = salted.withColumn("number", F.row_number().over(order).cast("bigint") - 1)
     shared = spark.sparkContext.broadcast((plans, starts))
@@ -140,8 +147,12 @@ def pack(items: DataFrame, windows: dict[int, int], key: str, size: str) -> Data
         for batch in stream:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             window, units, salt, number = (col[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("window_id", "n_units", "salt", "number"))
-            for (w, s, k), first in starts.items():
-                number = np.where((window == w) & (units == s) & (salt == k), number + first, number)
+            if starts:
+                slots, of = np.unique(window * _SIZES + units, return_inverse=True)
+                for i, k in enumerate(slots.tolist()):
+                    if k in starts:
+                        here = of == i
+                        number[here] += starts[k][salt[here]]
             container = _locate(plans, window, units, number)
             yield pa.RecordBatch.from_arrays(
                 [col["window_id"], pa.array(container), col[key], col["piece_no"], col["first_unit"], col["n_units"]],
