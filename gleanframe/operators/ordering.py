@@ -65,3 +65,16 @@ def keyset_page(rows: DataFrame, key: str, after, size: int, descending: bool =
     marked = page.withColumn("_place", place).withColumn("_rows", F.count(F.lit(1)).over(every))
     last = F.max(F.when(F.col("_place") == size, F.col(key))).over(every)
     return marked.withColumn("next_cursor", F.when(F.col("_rows") > size, last)).where(F.col("_place") <= size).drop("_place", "_rows")
+
+
+def running_total(rows: DataFrame, order: list[Column], amount: str, name: str = "before") -> DataFrame:
+    """``rows`` with the sum of ``amount`` (not NULL) over all rows that stand before in the order of all rows."""
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = cut(spread.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets, before = [F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")], 0
+    for part, total in sorted(map(tuple, kept.groupBy("_part").agg(F.sum(amount).cast("bigint")).collect())):
+        offsets += [F.lit(part).cast("bigint"), F.lit(before).cast("bigint")]
+        before += total
+    start = F.coalesce(F.sum(amount).over(inside), F.lit(0)).cast("bigint")
+    return kept.withColumn(name, start + F.create_map(*offsets)[F.col("_part")]).drop("_at", "_part")

@@ -90,3 +90,16 @@ def near_duplicate_cells(scope: DataFrame, key: str, unknown: str, links: DataFr
     found = scope.join(links.withColumnRenamed("item", key), key, "left")
     status = F.when(F.col(unknown).isNotNull(), F.col(unknown)).when(F.col("peers").isNotNull(), "matched").otherwise(no_peer)
     return found.select(key, status.alias("status"), F.when(F.col(unknown).isNull(), F.coalesce("peers", F.lit(0))).alias("peers"), "least_distance", "best_peer")
+
+
+def faulty_cells(cells: DataFrame) -> DataFrame:
+    """Cells that no condition may give: unknown statuses, scores or reasons where there can't be one, or none where one must
+    be, scores out of [-1, 1]."""
+    status, score, reason = F.col("status"), F.col("raw_score"), F.col("reason")
+    unknown = status.isin("unknown_missing_index", "unknown_stale", "unknown_invalid")
+    good = (
+        (unknown & score.isNull() & reason.isNotNull())
+        | (status.isin("matched", "eligible") & score.isNotNull() & reason.isNull())
+        | ((status == "not_matched") & reason.isNull())
+    )
+    return cells.where(~F.coalesce(good & (score.isNull() | score.between(-1, 1)), F.lit(False)))

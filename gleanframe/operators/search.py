@@ -79,3 +79,18 @@ def interleaved(scores: DataFrame, seed: str, slot_key: Column | None = None) ->
     filled = placed.drop("_n", "_start").join(order, ["matched_ids", "_k"])
     ranked = numbered(filled, [F.col("matched_count").desc(), F.col("_draw"), F.col("matched_ids"), F.col("_k")], "result_rank")
     return ranked.select("result_rank", "item", "matched_ids", "matched_count", "pattern_score")
+
+
+def retrieval_counts(cells: DataFrame, chosen: DataFrame, semantic: list[str]) -> DataFrame:
+    """(condition_id, eligible, ineligible, unretrieved) of semantic conditions: items that could be ranked, couldn't, and
+    could but aren't among ``chosen`` (item)."""
+    marked = cells.where(F.col("condition_id").isin(semantic)).join(chosen.select("item", F.lit(1).alias("_in")).distinct(), "item", "left")
+    eligible = F.col("status") == "eligible"
+    return marked.groupBy("condition_id").agg(
+        F.count_if(eligible).alias("eligible"), F.count_if(~eligible).alias("ineligible"), F.count_if(eligible & F.col("_in").isNull()).alias("unretrieved")
+    )
+
+
+def with_evidence(ranked: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Candidates with the cells of further conditions, which neither filter nor rank."""
+    return ranked.join(evidence, "item", "left")
