@@ -28,7 +28,7 @@ class IndexSettings:
     ``block_rows``: rows of a work unit; longer lists are compared in pairs of blocks."""
 
     list_rows: int = 1024
-    most_lists: int = 16384
+    most_lists: int = 8192
     sample_rows: int = 32
     separation: float = 0.85
     ratio: float = 1.03

@@ -65,25 +65,41 @@ def sample(vectors: DataFrame, key: str, vector: str, share: float, most: int, s
 
 def separated(centres: np.ndarray, cosine: float) -> np.ndarray:
     """The centres without those closer to an earlier one than ``cosine``."""
-    keep: list[int] = []
-    sims = centres @ centres.T
-    blocked = np.zeros(len(centres), bool)
-    for i in range(len(centres)):
-        if not blocked[i]:
-            keep.append(i)
-            blocked |= sims[i] >= cosine
-    return centres[keep]
+    kept = centres[:0]
+    for i in range(0, len(centres), 1024):
+        part = centres[i : i + 1024]
+        free = (part @ kept.T < cosine).all(1) if len(kept) else np.ones(len(part), bool)
+        own = part @ part.T >= cosine
+        chosen: list[int] = []
+        for j in np.flatnonzero(free):
+            if not own[j, chosen].any():
+                chosen.append(int(j))
+        kept = np.concatenate([kept, part[chosen]])
+    return kept
+
+
+def _nearest_centre(x: np.ndarray, centres: np.ndarray, crowd: np.ndarray | float = 0.0) -> np.ndarray:
+    step = max(64, (1 << 22) // len(centres))
+    return np.concatenate([np.argmax(x[i : i + step] @ centres.T - crowd, 1) for i in range(0, len(x), step)])
 
 
 def balanced_centres(x: np.ndarray, k: int, rounds: int = 6, weight: float = 0.05) -> np.ndarray:
-    """Unit centres of ``x`` by spherical k-means, in which a crowded centre is a little further away for everyone."""
+    """Unit centres of ``x`` by spherical k-means, in which a crowded centre is a little further away for everyone.
+
+    Many centres are learnt in two levels, each group of the first level getting its share of them.
+    """
     if not len(x):
         return x
     k = min(k, len(x))
+    if k > 1024:
+        coarse = balanced_centres(x, int(np.sqrt(k)), rounds, weight)
+        group = _nearest_centre(x, coarse)
+        parts = [x[group == g] for g in range(len(coarse))]
+        return np.concatenate([balanced_centres(p, max(1, round(k * len(p) / len(x))), rounds, weight) for p in parts if len(p)])
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
     crowd = np.zeros(k)
     for _ in range(rounds):
-        label = np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - crowd, 1) for i in range(0, len(x), 4096)])
+        label = _nearest_centre(x, centres, crowd)
         counts = np.bincount(label, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, label, x)

@@ -6,7 +6,7 @@ import pytest
 from gleanframe.llm.clustering import ClusterSettings, FeatureTree, cluster_vectors, describe_clusters, ward
 from gleanframe.llm.neighbours import IndexSettings, exact_nearest, nearest_vectors, recall_against, top_columns
 from gleanframe.llm.subset import choose_varied, pivoted_rows
-from gleanframe.llm.vectors import CentroidGraph, current_vectors, separated
+from gleanframe.llm.vectors import CentroidGraph, balanced_centres, current_vectors, separated
 
 SMALL = IndexSettings(list_rows=40, sample_rows=8, block_rows=50, ratio=1.4)
 
@@ -123,6 +123,11 @@ def test_graph_search_and_top_columns():
     assert (ids[:, 0] == 0).all() and (ids[:, 1:] == -1).all()
     top = top_columns(np.array([[0.5, 0.9, 0.9, -2.0], [-2.0, -2.0, -2.0, -2.0]]), 3)
     assert top.tolist() == [[1, 2, 0], [-1, -1, -1]]
+    rows = rng.standard_normal((5000, 8))
+    many = balanced_centres(rows / np.linalg.norm(rows, axis=1, keepdims=True), 1500)
+    assert 1200 < len(many) <= 1800 and np.isfinite(many).all()
+    apart = separated(many, 0.95)
+    assert (apart @ apart.T - 2 * np.eye(len(apart)) < 0.95).all() and ((many @ apart.T).max(1) > 0.95 - 1e-9).all()
     assert len(separated(np.array([[1.0, 0], [0.99, 0.14], [0, 1.0]]), 0.85)) == 2
 
 
