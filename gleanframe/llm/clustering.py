@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.llm.neighbours import IndexSettings, build_index, list_sizes, post
-from gleanframe.llm.vectors import CentroidGraph, blocked, float_lists, in_batches, matrix
+from gleanframe.llm.vectors import CentroidGraph, blocked, float_lists, in_batches, matrix, split_copies
 from gleanframe.session import cut
 
 
@@ -301,7 +301,7 @@ def _disagreeing(members: DataFrame, key: str, vector: str, limit: float, most:
 
 
 def cluster_vectors(
-    vectors: DataFrame, key: str, vector: str, limit: float, least: int, settings: ClusterSettings = ClusterSettings(), rows: int | None = None, sample_from: DataFrame | None = None
+    vectors: DataFrame, key: str, vector: str, limit: float, least: int, settings: ClusterSettings = ClusterSettings()
 ) -> DataFrame:
     """(key, cluster_id, cosine): the members of clusters, with each one's cosine to its cluster's mean.
 
@@ -311,17 +311,16 @@ def cluster_vectors(
     exactly; outside vectors are looked for in the lists that a member shares with them.
     """
     index = settings.index
-    if rows is None:
-        rows = vectors.count()
-    learnt = vectors if sample_from is None else sample_from
-    graph = build_index(learnt, key, vector, rows, index)
     kind = dict(vectors.dtypes)[key]
+    vectors, extra = split_copies(cut(vectors.select(key, vector)), key, vector, max(least, 8))
+    rows = vectors.count()
+    graph = build_index(vectors, key, vector, rows, index)
     if graph is None:
         return vectors.sparkSession.createDataFrame([], f"`{key}` {kind}, cluster_id {kind}, cosine double")
     postings = cut(post(vectors, key, vector, graph, index))
     features = _leaf_features(postings.where("home"), vector, limit, settings)
     for r in range(settings.rounds):
-        cells = graph if r == 0 else build_index(learnt, key, vector, rows, index, seed=r)
+        cells = graph if r == 0 else build_index(vectors, key, vector, rows, index, seed=r)
         features = _merged_features(features, cells, limit, settings.cell_rows, r)
     clusters = cut(features.where(F.col("n") >= least))
     sizes = list_sizes(postings)
@@ -356,7 +355,11 @@ def cluster_vectors(
     # Within half the limit's angle of the mean every two members reach it; the others are compared.
     wide = members.where(F.acos("least_cosine") * 2 > float(np.arccos(limit)) - 1e-6).select("cluster", key)
     apart = _disagreeing(wide.join(postings.where("home").select(key, vector), key), key, vector, limit, index.block_rows)
-    return members.join(apart, "cluster", "left_anti").select(key, "cluster_id", "cosine")
+    valid = members.join(apart, "cluster", "left_anti").select(key, "cluster_id", "cosine")
+    if extra is None:
+        return valid
+    # Further copies go where the first copy is.
+    return valid.unionByName(extra.join(valid.withColumnRenamed(key, "first"), "first").select(key, "cluster_id", "cosine"))
 
 
 def describe_clusters(members: DataFrame, key: str, typical: int = 3) -> DataFrame:

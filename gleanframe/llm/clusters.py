@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanframe.llm.clustering import cluster_vectors, describe_clusters
-from gleanframe.llm.similar import _VECTORS, LEAST_COSINE, photo_vectors, vector_rows
-from gleanframe.sources.tables import table
+from gleanframe.llm.similar import _VECTORS, LEAST_COSINE, photo_vectors
 
 LEAST_MEMBERS = 5
 
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "image_embedding_results", ["result_id"]).count()
-    return cluster_vectors(photo_vectors(spark, folder), "photo_id", "vector", LEAST_COSINE, LEAST_MEMBERS, rows=rows, sample_from=vector_rows(spark, folder))
+    return cluster_vectors(photo_vectors(spark, folder), "photo_id", "vector", LEAST_COSINE, LEAST_MEMBERS)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

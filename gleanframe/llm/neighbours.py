@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.vectors import CentroidGraph, balanced_centres, blocked, float_lists, in_batches, lists_of, matrix, sample, separated
+from gleanframe.llm.vectors import CentroidGraph, balanced_centres, blocked, in_batches, lists_of, matrix, sample, separated, split_copies
 from gleanframe.session import cut
 
 
@@ -121,19 +121,17 @@ def _unit(key: str, vector: str, k: int, least: float) -> Callable[[pa.Table], p
 
 
 def nearest_vectors(
-    vectors: DataFrame, key: str, vector: str, k: int, least: float = -1.0, settings: IndexSettings = IndexSettings(), rows: int | None = None, sample_from: DataFrame | None = None
+    vectors: DataFrame, key: str, vector: str, k: int, least: float = -1.0, settings: IndexSettings = IndexSettings()
 ) -> DataFrame:
     """(key, neighbour, cosine, rank): for every vector its k most similar others with a cosine of ``least`` or more.
 
     Cosines are double, rounded to six decimals; ties go to the smaller key. ``vectors`` has one usable vector a key (keys
-    not NULL); fewer than k others give fewer rows, an empty table none. ``rows`` (about how many there are) and
-    ``sample_from`` save a pass where they are known. Every vector is indexed; the accuracy loss is pairs that share no
-    list.
+    not NULL); fewer than k others give fewer rows, an empty table none. Every vector is indexed, copies of one vector by
+    their k + 1 least keys; the accuracy loss is pairs that share no list.
     """
-    if rows is None:
-        rows = vectors.count()
-    graph = build_index(vectors if sample_from is None else sample_from, key, vector, rows, settings)
     kind = dict(vectors.dtypes)[key]
+    vectors, extra = split_copies(cut(vectors.select(key, vector)), key, vector, k + 1)
+    graph = build_index(vectors, key, vector, vectors.count(), settings)
     if graph is None:
         return vectors.sparkSession.createDataFrame([], f"`{key}` {kind}, neighbour {kind}, cosine double, rank int")
     postings = cut(post(vectors, key, vector, graph, settings))
@@ -142,6 +140,12 @@ def nearest_vectors(
         _unit(key, vector, k, least), f"`{key}` {kind}, near array<struct<minus:double,id:{kind}>>"
     )
     merged = near.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    if extra is not None:
+        # A further copy has what the first copy has, and the first copy itself, at 1.
+        first = F.array(F.struct(F.lit(-1.0).alias("minus"), F.col("first").alias("id")))
+        firsts = merged.select(F.col(key).alias("first"), "near")
+        copied = extra.join(firsts, "first").select(key, F.slice(F.array_sort(F.concat(first, "near")), 1, k).alias("near"))
+        merged = merged.unionByName(copied)
     return merged.select(key, F.posexplode("near").alias("position", "one")).select(
         key, F.col("one.id").alias("neighbour"), (-F.col("one.minus")).alias("cosine"), (F.col("position") + 1).alias("rank")
     )

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.functions.ids import clean_id
 from gleanframe.llm.neighbours import exact_nearest, nearest_vectors, recall_against
-from gleanframe.llm.vectors import current_vectors, usable
+from gleanframe.llm.vectors import current_vectors
 from gleanframe.session import cut
 from gleanframe.sources.tables import table
 
@@ -22,15 +21,8 @@ def photo_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vector_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Usable vectors of any time and profile, unshuffled: what centres are learnt from."""
-    rows = table(spark, folder, "image_embedding_results", ["result_id", "vector"])
-    return rows.where(usable("vector", 64)).select(clean_id("result_id").alias("photo_id"), "vector")
-
-
 def _nearest(spark: SparkSession, folder: str, least: float) -> DataFrame:
-    rows = table(spark, folder, "image_embedding_results", ["result_id"]).count()
-    return nearest_vectors(photo_vectors(spark, folder), "photo_id", "vector", NEIGHBOURS, least, rows=rows, sample_from=vector_rows(spark, folder))
+    return nearest_vectors(photo_vectors(spark, folder), "photo_id", "vector", NEIGHBOURS, least)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,4 +67,5 @@ _NEAREST = f"""with {_VECTORS},
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall}
 SQL = {
     "p5_found": f"{_NEAREST} select distinct least(photo_id, neighbour) as photo_id_a, greatest(photo_id, neighbour) as photo_id_b from best where rank <= 5 and cosine >= 0.85",
+    "p5_neighbours": f"{_NEAREST} select photo_id, neighbour, cosine, cast(rank as int) as rank from best where rank <= 5",
 }

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.functions.ids import clean_id
 from gleanframe.operators.current import current_rows
+from gleanframe.session import cut
 
 
 def usable(vector: str, dimensions: int) -> Column:
@@ -206,6 +207,24 @@ def blocked(postings: DataFrame, key: str, lists: str, sizes: dict[int, int], mo
     )
 
 
+def split_copies(vectors: DataFrame, key: str, vector: str, keep: int) -> tuple[DataFrame, DataFrame | None]:
+    """Vectors without the copies beyond the ``keep`` least keys of each vector, and those copies as (key, first).
+
+    Work between rows of one list grows with the square of their number; what copies add to it is known without comparing
+    them. Vectors are told apart by two 64-bit hashes. ``vectors`` should be kept rows, as it is read more than once; without
+    crowded vectors it comes back as it is, with None.
+    """
+    narrow = vectors.select(key, F.xxhash64(F.lit(0), vector).alias("h1"), F.xxhash64(F.lit(1), vector).alias("h2"))
+    crowded = cut(narrow.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where(F.col("n") > keep))
+    if crowded.isEmpty():
+        return vectors, None
+    copies = narrow.join(crowded, ["h1", "h2"])
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(key))
+    front = copies.withColumn("place", place).where(F.col("place") <= keep).select(key)
+    extra = cut(copies.join(front, key, "left_anti").select(key, "first"))
+    return vectors.join(extra.select(key), key, "left_anti"), extra
+
+
 def in_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

@@ -67,6 +67,23 @@ def test_nearest_of_few(spark):
     assert got[:3] == [("c0", 1, "c1"), ("c0", 2, "c2"), ("c0", 3, "c3")] and got[-1] == ("c8", 3, "c2")
 
 
+def test_crowds_of_copies(spark):
+    """A vector with many copies, with near ones around it: the copies beyond the first few are not compared."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(8)
+    rows = [(f"c{i:03}", base.tolist()) for i in rng.permutation(120)] + [(f"{'an'[i % 2]}{i:02}", (base + rng.standard_normal(8) * 0.03).tolist()) for i in range(12)]
+    rows += [(f"x{i}", rng.standard_normal(8).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "photo_id string, vector array<float>")
+    keys = sorted(k for k, _ in rows)
+    x = np.asarray([np.asarray(v, np.float32) for _, v in sorted(rows)], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(np.clip(x @ x.T, -1, 1), 6)
+    got = {(r["photo_id"], r["neighbour"]) for r in nearest_vectors(df, "photo_id", "vector", 4, 0.85).collect()}
+    assert got == brute_nearest(keys, c, 4, 0.85)
+    found = {(r["photo_id"], r["cluster_id"]) for r in cluster_vectors(df, "photo_id", "vector", 0.85, 5).collect()}
+    assert found == brute_clusters(keys, c, 0.85, 5) and len(found) >= 120
+
+
 def brute_clusters(keys, c, limit, least):
     near = [frozenset(np.flatnonzero((row >= limit) | (np.arange(len(row)) == i))) for i, row in enumerate(c)]
     return {(keys[i], keys[min(n)]) for i, n in enumerate(near) if len(n) >= least and all(near[j] == n for j in n)}
