@@ -95,9 +95,11 @@ class Column:
             c.absent(repetition, definition)
 
     def walk(self) -> Iterator[Column]:
-        yield self
-        for c in self.children.values():
-            yield from c.walk()
+        stack = [self]
+        while stack:
+            column = stack.pop()
+            yield column
+            stack.extend(reversed(column.children.values()))
 
 
 class Shredder:
@@ -189,9 +191,9 @@ def tables_of(shredder: Shredder) -> Iterator[tuple[str, np.ndarray, list[str],
     for column in shredder.root.walk():
         if column.parent is None:
             continue
-        keep, indexes, documents = positions(column)
-        if not len(documents):
+        if OBJECT not in column.kind:
             continue
+        keep, indexes, documents = positions(column)
         own, above = _place(column), _enclosing(column)
         places = [own % t for t in zip(*(i.tolist() for i in indexes))]
         if above.depth:
@@ -222,7 +224,8 @@ def shred(
     columns = ["source_field", "record_key", "document"]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+        # The parser has a limit of its own, near 10,000 levels; whatever it reads is walked.
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
         for batch in stream:
             shredder, rows = Shredder(names, with_values), []
             kinds = batch.column(0).to_pylist()

@@ -83,3 +83,9 @@ def test_tables(spark):
 
 def test_empty(spark):
     assert shred(spark.createDataFrame([], "source_field string, record_key string, document string"), LISTS).count() == 0
+
+
+def test_deep_documents(spark):
+    docs = [("m", "lists", "[" * 6000 + "{}" + "]" * 6000), ("m", "objects", '{"a":' * 4000 + "[{}]" + "}" * 4000), ("m", "both", '{"a":[' * 40 + "{}" + "]}" * 40), ("m", "beyond", "[" * 10**6 + "]" * 10**6)]
+    out = shred(spark.createDataFrame(docs, "source_field string, record_key string, document string"), LISTS)
+    assert {r[0]: r[1] for r in out.groupBy("record_key").count().collect()} == {"lists": 1, "objects": 1, "both": 40}
