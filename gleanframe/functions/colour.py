@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of hue in degrees, and the name below each.
 HUES = ((15, "red"), (45, "orange"), (75, "yellow"), (165, "green"), (195, "cyan"), (255, "blue"), (285, "purple"), (345, "magenta"))
+#: Below this value black; below this saturation gray, or white from this value on.
+BLACK_BELOW, GRAY_BELOW, WHITE_FROM = 0.2, 0.15, 0.85
 
 
 def palette_color(red: Column, green: Column, blue: Column) -> Column:
@@ -23,6 +25,6 @@ def palette_color(red: Column, green: Column, blue: Column) -> Column:
     named = F.lit("red")
     for bound, name in reversed(HUES):
         named = F.when(hue < bound, name).otherwise(named)
-    grey = F.when(high >= 0.85, "white").otherwise("gray")
+    grey = F.when(high >= WHITE_FROM, "white").otherwise("gray")
     known = red.isNotNull() & green.isNotNull() & blue.isNotNull()
-    return F.when(known, F.when(high < 0.2, "black").when(F.coalesce(F.try_divide(reach, high), F.lit(0.0)) < 0.15, grey).otherwise(named))
+    return F.when(known, F.when(high < BLACK_BELOW, "black").when(F.coalesce(F.try_divide(reach, high), F.lit(0.0)) < GRAY_BELOW, grey).otherwise(named))

@@ -9,6 +9,10 @@ _LENGTH = {"year": 4, "month": 7, "day": 10}
 _FORM = "\\A([0-9]{4}):([0-9]{2}):([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})\\z"
 
 
+#: Why a date has no folder.
+MISSING, OTHER_FORM, NO_DATE = "missing_datetime_original", "invalid_datetime_original_format", "invalid_datetime_original_value"
+
+
 def date_bucket(text: Column, granularity: str) -> Column:
     """The year, month or day of ``YYYY:MM:DD HH:MM:SS``, by the camera's calendar; NULL where ``skip_reason`` isn't."""
     return F.when(skip_reason(text).isNull(), F.substring(F.replace(F.substring(text, 1, 10), F.lit(":"), F.lit("-")), 1, _LENGTH[granularity]))
@@ -18,7 +22,7 @@ def skip_reason(text: Column) -> Column:
     """Why a date has no bucket: missing, of another form, or no date of the calendar."""
     real = F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss")).isNotNull() & (F.substring(text, 1, 4) != "0000")
     return (
-        F.when(text.isNull() | (text == ""), "missing_datetime_original")
-        .when(~text.rlike(_FORM), "invalid_datetime_original_format")
-        .when(~real, "invalid_datetime_original_value")
+        F.when(text.isNull() | (text == ""), MISSING)
+        .when(~text.rlike(_FORM), OTHER_FORM)
+        .when(~real, NO_DATE)
     )

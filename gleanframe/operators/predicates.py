@@ -13,20 +13,43 @@ from gleanframe.functions.colour import palette_color
 from gleanframe.functions.text import contains
 
 
+#: The status and reason of a cell for each kind of evidence that can't be evaluated.
+GAPS = {
+    "incomplete": ("unknown_invalid", "incomplete_result"),
+    "missing": ("unknown_missing_index", "missing_index"),
+    "stale": ("unknown_stale", "saved_input_changed"),
+    "upstream_stale": ("unknown_stale", "stale_dependency"),
+    "upstream_invalid": ("unknown_invalid", "invalid_dependency"),
+    "upstream_missing": ("unknown_missing_index", "missing_dependency"),
+    "invalid": ("unknown_invalid", "invalid_saved_result"),
+}
+#: Unknown statuses, worst first.
+UNKNOWN = ("unknown_invalid", "unknown_stale", "unknown_missing_index")
+
+
 def coverage_unknown(coverage: Column, complete: Column, upstream: Column | None = None) -> Column:
-    """struct(status, reason) of evidence that can't be evaluated, NULL where it can."""
+    """struct(status, reason) of evidence that can't be evaluated, NULL where it can. ``upstream``: the coverage of what the
+    evidence depends on."""
     upstream = F.lit(None).cast("string") if upstream is None else upstream
-    cell = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
-    return (
-        F.when((coverage == "ready") & F.coalesce(complete, F.lit(False)), F.lit(None))
-        .when(coverage == "ready", cell("unknown_invalid", "incomplete_result"))
-        .when(coverage.isNull() | (coverage == "missing"), cell("unknown_missing_index", "missing_index"))
-        .when(coverage == "stale", cell("unknown_stale", "saved_input_changed"))
-        .when((coverage == "dependency_missing") & (upstream == "stale"), cell("unknown_stale", "stale_dependency"))
-        .when((coverage == "dependency_missing") & upstream.isin("invalid_input", "invalid_vector"), cell("unknown_invalid", "invalid_dependency"))
-        .when(coverage == "dependency_missing", cell("unknown_missing_index", "missing_dependency"))
-        .otherwise(cell("unknown_invalid", "invalid_saved_result"))
+    waiting = coverage == "dependency_missing"
+    cases = (
+        ("incomplete", coverage == "ready"),
+        ("missing", coverage.isNull() | (coverage == "missing")),
+        ("stale", coverage == "stale"),
+        ("upstream_stale", waiting & (upstream == "stale")),
+        ("upstream_invalid", waiting & upstream.isin("invalid_input", "invalid_vector")),
+        ("upstream_missing", waiting),
     )
+    usable = (coverage == "ready") & F.coalesce(complete, F.lit(False))
+    found = F.when(usable, F.lit(None))
+    for gap, test in cases:
+        found = found.when(test, _gap(gap))
+    return found.otherwise(_gap("invalid"))
+
+
+def _gap(name: str) -> Column:
+    status, reason = GAPS[name]
+    return F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
 
 
 def cell(matched: Column, score: Column | None = None, unknown: Column | None = None) -> Column:
@@ -84,9 +107,8 @@ def near_duplicate_cells(scope: DataFrame, key: str, unknown: str, links: DataFr
     result among comparable items. Without a peer an item isn't ``not_matched`` while any item of the scope is unknown: the
     worst unknown status (invalid, stale, missing) holds for it.
     """
-    order = ["unknown_invalid", "unknown_stale", "unknown_missing_index"]
-    worst = scope.agg(F.min(F.array_position(F.array(*map(F.lit, order)), F.col(unknown))).alias("worst")).first()["worst"]
-    no_peer = order[worst - 1] if worst else "not_matched"
+    worst = scope.agg(F.min(F.array_position(F.array(*map(F.lit, UNKNOWN)), F.col(unknown))).alias("worst")).first()["worst"]
+    no_peer = UNKNOWN[worst - 1] if worst else "not_matched"
     found = scope.join(links.withColumnRenamed("item", key), key, "left")
     status = F.when(F.col(unknown).isNotNull(), F.col(unknown)).when(F.col("peers").isNotNull(), "matched").otherwise(no_peer)
     return found.select(key, status.alias("status"), F.when(F.col(unknown).isNull(), F.coalesce("peers", F.lit(0))).alias("peers"), "least_distance", "best_peer")
@@ -96,7 +118,7 @@ def faulty_cells(cells: DataFrame) -> DataFrame:
     """Cells that no condition may give: unknown statuses, scores or reasons where there can't be one, or none where one must
     be, scores out of [-1, 1]."""
     status, score, reason = F.col("status"), F.col("raw_score"), F.col("reason")
-    unknown = status.isin("unknown_missing_index", "unknown_stale", "unknown_invalid")
+    unknown = status.isin(*UNKNOWN)
     good = (
         (unknown & score.isNull() & reason.isNotNull())
         | (status.isin("matched", "eligible") & score.isNotNull() & reason.isNull())
