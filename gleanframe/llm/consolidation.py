@@ -104,13 +104,13 @@ def component_labels(edges: DataFrame) -> DataFrame:
         found = {d: n for d, n in low.groupBy("d").count().collect()}
         if found.get(1):
             edges, leaves = _strip(edges, low.where("d = 1"))
-            edges, leaves = cut(edges), cut(leaves)
-            removed.append(leaves)
+            edges = cut(edges)
+            removed.append(leaves)  # a small aggregate of kept rows, like the chains' below
             low = _low_degree(edges)
         chain = cut(low.where("d = 2"))
         if not chain.isEmpty():
             edges, inner = _compress(edges, chain)
-            edges, inner = cut(edges), cut(inner)
+            edges = cut(edges)
             removed.append(inner)
         elif not found.get(1):
             break
