@@ -120,6 +120,20 @@ def _unit(key: str, vector: str, k: int, least: float) -> Callable[[pa.Table], p
     return run
 
 
+def _ranked(near: DataFrame, extra: DataFrame | None, key: str, k: int) -> DataFrame:
+    """(key, neighbour, cosine, rank) of what the units found, with the rows of the copies that were left out."""
+    merged = near.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    if extra is not None:
+        # A further copy has what the first copy has, and the first copy itself, at 1.
+        first = F.array(F.struct(F.lit(-1.0).alias("minus"), F.col("first").alias("id")))
+        firsts = merged.select(F.col(key).alias("first"), "near")
+        copied = extra.join(firsts, "first").select(key, F.slice(F.array_sort(F.concat(first, "near")), 1, k).alias("near"))
+        merged = merged.unionByName(copied)
+    return merged.select(key, F.posexplode("near").alias("position", "one")).select(
+        key, F.col("one.id").alias("neighbour"), (-F.col("one.minus")).alias("cosine"), (F.col("position") + 1).alias("rank")
+    )
+
+
 def nearest_vectors(
     vectors: DataFrame, key: str, vector: str, k: int, least: float = -1.0, settings: IndexSettings = IndexSettings()
 ) -> DataFrame:
@@ -139,16 +153,69 @@ def nearest_vectors(
     near = units.select(key, vector, "list", "block", "unit_a", "unit_b").groupBy("list", "unit_a", "unit_b").applyInArrow(
         _unit(key, vector, k, least), f"`{key}` {kind}, near array<struct<minus:double,id:{kind}>>"
     )
-    merged = near.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-    if extra is not None:
-        # A further copy has what the first copy has, and the first copy itself, at 1.
-        first = F.array(F.struct(F.lit(-1.0).alias("minus"), F.col("first").alias("id")))
-        firsts = merged.select(F.col(key).alias("first"), "near")
-        copied = extra.join(firsts, "first").select(key, F.slice(F.array_sort(F.concat(first, "near")), 1, k).alias("near"))
-        merged = merged.unionByName(copied)
-    return merged.select(key, F.posexplode("near").alias("position", "one")).select(
-        key, F.col("one.id").alias("neighbour"), (-F.col("one.minus")).alias("cosine"), (F.col("position") + 1).alias("rank")
+    return _ranked(near, extra, key, k)
+
+
+def _whole_unit(key: str, vector: str, k: int) -> Callable[[pa.Table], pa.Table]:
+    """The k nearest of each row of a unit. Single precision leaves a few columns of each row; these are compared in double."""
+    group, margin = 32, 1e-5  # columns that one maximum stands for; more than the error of single precision and of six decimals
+
+    def best(x: np.ndarray, of: np.ndarray, among: np.ndarray, out: list) -> None:
+        single = x.astype(np.float32)
+        columns = np.ascontiguousarray(single[among].T)
+        whole = len(among) // group * group
+        for i in range(0, len(of), 256):
+            part = of[i : i + 256]
+            c = single[part] @ columns
+            if of is among:
+                c[np.arange(len(part)), np.arange(i, i + len(part))] = -2
+            least = np.full(len(part), -1.5, np.float32)
+            if whole >= k * group:
+                # The k-th greatest of the groups' maxima is not above the k-th greatest of all.
+                most = c[:, :whole].reshape(len(part), -1, group).max(2)
+                least = np.maximum(least, np.partition(most, most.shape[1] - k, 1)[:, -k] - np.float32(margin))
+            row, col = np.divmod(np.flatnonzero(c >= least[:, None]), len(among))
+            a, b = part[row], among[col]
+            cosine = np.round(np.clip(np.einsum("ij,ij->i", x[a], x[b]), -1, 1), 6)
+            order = np.lexsort((col, -cosine, row))
+            row = row[order]
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+            out.append((a[order], b[order], cosine[order]))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by(key)  # ties go to the first column
+        block, x, names = table["block"].to_numpy(), matrix(table[vector]), table[key].combine_chunks()
+        a, b = (np.flatnonzero(block == table[unit][0].as_py()) for unit in ("unit_a", "unit_b"))
+        found: list = []
+        if table["unit_a"][0].as_py() == table["unit_b"][0].as_py():
+            best(x, a, a, found)
+        elif len(a) and len(b):
+            best(x, a, b, found)
+            best(x, b, a, found)
+        of, other, cosine = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in range(3))
+        order = np.argsort(of, kind="stable")
+        of, other, cosine = of[order], other[order], cosine[order]
+        who, start = np.unique(of, return_index=True)
+        near = pa.StructArray.from_arrays([pa.array(-np.asarray(cosine, np.float64)), names.take(pa.array(other))], ["minus", "id"])
+        offsets = pa.array(np.concatenate([start, [len(of)]]) if len(who) else np.zeros(1, int), pa.int32())
+        return pa.table({key: names.take(pa.array(who)), "near": pa.ListArray.from_arrays(offsets, near)})
+
+    return run
+
+
+def every_nearest(vectors: DataFrame, key: str, vector: str, k: int, block_rows: int = 1 << 14) -> DataFrame:
+    """(key, neighbour, cosine, rank) as ``nearest_vectors`` gives it, but by comparing every two vectors: nothing is lost.
+
+    For neighbours at any distance: those far away share no list. Work grows with the square of the rows, what is shuffled
+    with rows / ``block_rows`` times the rows; copies of one vector are compared by their k + 1 least keys.
+    """
+    kind = dict(vectors.dtypes)[key]
+    vectors, extra = split_copies(cut(vectors.select(key, vector)), key, vector, k + 1)
+    units = blocked(vectors.withColumn("list", F.lit(0)), key, "list", {0: vectors.count()}, block_rows)
+    near = units.select(key, vector, "block", "unit_a", "unit_b").groupBy("unit_a", "unit_b").applyInArrow(
+        _whole_unit(key, vector, k), f"`{key}` {kind}, near array<struct<minus:double,id:{kind}>>"
     )
+    return _ranked(near, extra, key, k)
 
 
 def recall_against(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:

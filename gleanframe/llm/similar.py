@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm.neighbours import exact_nearest, nearest_vectors, recall_against
+from gleanframe.llm.neighbours import every_nearest, exact_nearest, nearest_vectors, recall_against
 from gleanframe.llm.vectors import current_vectors
 from gleanframe.session import cut
 from gleanframe.sources.tables import table
@@ -21,18 +21,14 @@ def photo_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _nearest(spark: SparkSession, folder: str, least: float) -> DataFrame:
-    return nearest_vectors(photo_vectors(spark, folder), "photo_id", "vector", NEIGHBOURS, least)
-
-
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    near = _nearest(spark, folder, LEAST_COSINE)
+    near = nearest_vectors(photo_vectors(spark, folder), "photo_id", "vector", NEIGHBOURS, LEAST_COSINE)
     return near.select(F.least("photo_id", "neighbour").alias("photo_id_a"), F.greatest("photo_id", "neighbour").alias("photo_id_b")).distinct()
 
 
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The five most similar photos of every photo, however far."""
-    return _nearest(spark, folder, -1.0)
+    """The five most similar photos of every photo, however far: every two are compared, as far ones share no list."""
+    return every_nearest(photo_vectors(spark, folder), "photo_id", "vector", NEIGHBOURS)
 
 
 def p5_recall(spark: SparkSession, folder: str) -> DataFrame:
