@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import batched
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +69,47 @@ def hamming_links(classes: DataFrame, key: str, bits: str, distance: int) -> Dat
     )
 
 
-def duplicate_groups(links: DataFrame) -> DataFrame:
-    """(group_id, members, links, least_distance, kind) of linked items; membership is not similarity of every two."""
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+def _stars(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every 64 batches of edges (u, v) each of their vertices with the least one that it is connected with there."""
+    for batches in batched(stream, 64):
+        edges = pa.Table.from_batches(batches)
+        if not edges.num_rows:
+            continue
+        coded = pa.chunked_array([*edges["u"].chunks, *edges["v"].chunks]).combine_chunks().dictionary_encode()
+        names = np.asarray(coded.dictionary.to_pylist(), object)
+        order = np.argsort(names)
+        names, place = names[order], np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        at = place[coded.indices.to_numpy()]
+        u, v = at[: edges.num_rows], at[edges.num_rows :]
+        label = np.arange(len(names))
+        while True:
+            least = np.minimum(label[u], label[v])
+            low = label.copy()
+            for end in (u, v, label[u], label[v]):
+                np.minimum.at(low, end, least)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        away = np.flatnonzero(label != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[label[away]], pa.string()), pa.array(names[away], pa.string())], ["u", "v"])
+
+
+def linked_labels(links: DataFrame) -> DataFrame:
+    """(v, label) as connected_components gives it of ``links`` (a, b: strings). Many links of few items are reduced to stars
+    where they arise, so that they aren't kept."""
+    edges = links.where("a is not null and b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return connected_components(edges.mapInArrow(_stars, "u string, v string"))
+
+
+def duplicate_groups(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(group_id, members, links, least_distance, kind) of linked items; membership is not similarity of every two.
+
+    ``labels``: the items' components, if they are known.
+    """
+    if labels is None:
+        labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     members = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     edges = links.join(labels, links["a"] == labels["v"]).groupBy("label").agg(
         F.count(F.lit(1)).alias("links"), F.min("distance").alias("least_distance"), F.max("distance").alias("greatest")

@@ -13,6 +13,7 @@ from gleanframe.operators.ordering import ranked_with_gaps
 from gleanframe.sources.tables import table
 
 DISTANCE = 4
+REFERENCE_DISTANCE = 8  # the reference's default
 
 
 def current_photos(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -55,6 +56,19 @@ def dup_peer_summary(spark, folder):
     return d.peer_summary(dup_hamming_links(spark, folder))
 
 
+def dup_hamming_links_at_8(spark, folder):
+    return d.hamming_links(_fingerprints(spark, folder), "item", "bits", REFERENCE_DISTANCE)
+
+
+def dup_components_at_8(spark, folder):
+    links = dup_hamming_links_at_8(spark, folder)
+    return d.duplicate_groups(links, d.linked_labels(links))
+
+
+def dup_peer_summary_at_8(spark, folder):
+    return d.peer_summary(dup_hamming_links_at_8(spark, folder))
+
+
 def cosine_topk(spark, folder):
     rows = table(spark, folder, "embeddings", ["vec_id", "embedding"])
     query = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
@@ -94,9 +108,16 @@ _BITS = """bits as (select bits, min(item) as item from (select lower(trim(resul
     and len(list_filter(vector, lambda x: x <> 0)) > 0) group by 1),
 links as (select a.item as a, b.item as b, cast(bit_count(xor(a.bits, b.bits)) as int) as distance from bits a join bits b on a.item < b.item and bit_count(xor(a.bits, b.bits)) <= 4)"""
 
+# The same at the reference's distance; fingerprints as text of 64 digits, compared digit by digit.
+_AT_8 = """bits as (select text, min(item) as item from (select lower(trim(result_id)) as item, array_to_string(list_transform(vector, lambda x: case when x > 0 then '1' else '0' end), '') as text
+  from image_embedding_results where len(vector) = 64 and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0) group by 1),
+links as (select a.item as a, b.item as b, cast(hamming(a.text, b.text) as int) as distance from bits a join bits b on a.item < b.item and hamming(a.text, b.text) <= 8),
+ways as (select a as item, b as peer, distance from links union all select b, a, distance from links),
+reach(v, o) as (select item, item from ways union select r.v, w.peer from reach r join ways w on w.item = r.o), label as (select v, min(o) as label from reach group by 1)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (dup_exact_groups, dup_exact_members, dup_text_groups, dup_fingerprint_classes, dup_hamming_links, dup_components, dup_peer_summary, cosine_topk, scene_scores, scene_predicate, vector_states)
+    for f in (dup_exact_groups, dup_exact_members, dup_text_groups, dup_fingerprint_classes, dup_hamming_links, dup_components, dup_peer_summary, dup_hamming_links_at_8, dup_components_at_8, dup_peer_summary_at_8, cosine_topk, scene_scores, scene_predicate, vector_states)
 }
 _SCENES = """scores as (with m as (select label, i, avg(cast(embedding[i] as double)) as m from embeddings, range(1, 65) t(i) group by 1, 2),
   p as (select label, list(m order by i) as p from m group by 1)
@@ -115,6 +136,11 @@ select g as group_id, count(*) as members, any_value(links) as links, any_value(
 from label join (select g as e, count(*) as links, min(distance) as lo, max(distance) as hi from links join label on v = a group by 1) on e = g group by 1""",
     "dup_peer_summary": f"""with {_BITS}, ways as (select a as item, b as peer, distance from links union all select b, a, distance from links)
 select item, count(*) as peers, min(distance) as least_distance, arg_min(peer, (distance, peer)) as best_peer from ways group by 1""",
+    "dup_hamming_links_at_8": f"with recursive {_AT_8} select * from links",
+    "dup_components_at_8": f"""with recursive {_AT_8} select label as group_id, any_value(members) as members, count(*) as links, min(distance) as least_distance,
+  case when max(distance) = 0 then 'exact' when min(distance) = 0 then 'mixed' else 'similar' end as kind
+from links join label on v = a join (select label, count(*) as members from label group by 1) using (label) group by 1""",
+    "dup_peer_summary_at_8": f"with recursive {_AT_8} select item, count(*) as peers, min(distance) as least_distance, arg_min(peer, (distance, peer)) as best_peer from ways group by 1",
     "cosine_topk": """with s as (select e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 6) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q),
   r as (select *, row_number() over (order by score desc, vec_id) as rank, max(score) over () as best, lead(score) over (order by score desc, vec_id) as next from s)
 select vec_id, score, cast(rank as int) as rank, round(best - score, 6) as gap_from_best, round(score - next, 6) as gap_to_next from r where rank <= 20""",

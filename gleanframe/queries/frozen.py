@@ -10,10 +10,11 @@ from gleanframe.operators import predicates as p
 from gleanframe.operators import search as s
 from gleanframe.operators import snapshots as sn
 from gleanframe.operators.components import connected_components
+from gleanframe.operators.duplicates import linked_labels
 from gleanframe.operators.pairs import exact_subgroups, pair_page
 from gleanframe.operators.trigrams import search, trigrams
 from gleanframe.queries.conditions import _AND, _CELLS, _cells, condition_cells, unified_and, unified_cap
-from gleanframe.queries.duplicates import _BITS, current_photos, dup_hamming_links
+from gleanframe.queries.duplicates import _AT_8, _BITS, current_photos, dup_hamming_links, dup_hamming_links_at_8
 from gleanframe.plans.conditions import cells_of
 from gleanframe.sources.tables import table
 
@@ -63,12 +64,19 @@ def stale_selection(spark, folder):
     return sn.stale_rows(first, current_photos(spark, folder, "original_relative_path", "metadata_json"), "photo_id", ["original_relative_path", "metadata_json"])
 
 
+def _profile_subgroups(spark, folder, labels):
+    content = table(spark, folder, "image_embedding_results", ["result_id", "thumbnail_profile"]).select(F.lower(F.trim("result_id")).alias("result_id"), "thumbnail_profile").distinct()
+    return exact_subgroups(labels, content, "result_id", "thumbnail_profile")
+
+
 def component_subgroups(spark, folder):
     """Thumbnail profiles that several results of one component of near-alike vectors share."""
     links = dup_hamming_links(spark, folder)
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    content = table(spark, folder, "image_embedding_results", ["result_id", "thumbnail_profile"]).select(F.lower(F.trim("result_id")).alias("result_id"), "thumbnail_profile").distinct()
-    return exact_subgroups(labels, content, "result_id", "thumbnail_profile")
+    return _profile_subgroups(spark, folder, connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+
+def component_subgroups_at_8(spark, folder):
+    return _profile_subgroups(spark, folder, linked_labels(dup_hamming_links_at_8(spark, folder)))
 
 
 def difference_hashes(spark, folder):
@@ -91,7 +99,7 @@ def folder_name_keys(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (exact_pair_page, trigram_search, retrieval_counts, candidates_with_evidence, faulty_cells, snapshot_page, stale_selection, component_subgroups, difference_hashes, hue_histogram, folder_name_keys)
+    for f in (exact_pair_page, trigram_search, retrieval_counts, candidates_with_evidence, faulty_cells, snapshot_page, stale_selection, component_subgroups, component_subgroups_at_8, difference_hashes, hue_histogram, folder_name_keys)
 }
 _RGB = "(l_partkey * 37) % 256 as r, (l_suppkey * 91) % 256 as g, (l_orderkey * 53) % 256 as b"
 _GOOD = """coalesce(case when status in ('unknown_missing_index', 'unknown_stale', 'unknown_invalid') then raw_score is null and reason is not null
@@ -113,6 +121,8 @@ select photo_id from a join b using (photo_id) where a.p is distinct from b.p or
     "component_subgroups": f"""with recursive {_BITS}, ways as (select a, b from links union select b, a from links), reach(v, o) as (select a, a from ways union select r.v, w.b from reach r join ways w on w.a = r.o),
   label as (select v, min(o) as label from reach group by 1), c as (select distinct lower(trim(result_id)) as v, thumbnail_profile as content from image_embedding_results where thumbnail_profile is not null)
 select label, content, count(*) as members from label join c using (v) group by 1, 2 having count(*) > 1""",
+    "component_subgroups_at_8": f"""with recursive {_AT_8} select label, content, count(*) as members
+from label join (select distinct lower(trim(result_id)) as v, thumbnail_profile as content from image_embedding_results where thumbnail_profile is not null) using (v) group by 1, 2 having count(*) > 1""",
     "difference_hashes": """select vec_id, cast(list_sum(list_transform(range(1, 64), lambda i: case when e[(i // 8 * 9 + i % 8) % 64 + 1] > e[(i // 8 * 9 + i % 8 + 1) % 64 + 1] then cast(1 as hugeint) << (63 - i) else cast(0 as hugeint) end)) as bigint)
   + case when e[1] > e[2] then (-9223372036854775807 - 1)::bigint else 0::bigint end as hash from (select vec_id, embedding as e from embeddings)""",
     "hue_histogram": f"""select cast(floor(case when c = 0 then 0 when r = hi then case when g < b then 60 * ((g - b) / c + 6) else 60 * ((g - b) / c) end when g = hi then 60 * ((b - r) / c + 2) else 60 * ((r - g) / c + 4) end / 30) as bigint) as bin,
