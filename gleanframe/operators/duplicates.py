@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.operators.components import connected_components
+from gleanframe.session import cut
 
 
 def exact_classes(items: DataFrame, key: str, content: str) -> DataFrame:
@@ -125,3 +126,49 @@ def peer_summary(links: DataFrame) -> DataFrame:
     return ways.groupBy("item").agg(F.count(F.lit(1)).alias("peers"), best.alias("best")).select(
         "item", "peers", F.col("best.distance").alias("least_distance"), F.col("best.peer").alias("best_peer")
     )
+
+
+def copy_links(classes: DataFrame, distance: int) -> DataFrame:
+    """(a, copies_a, b, copies_b, distance) of classes (class_id, copies, bits): hamming_links that carry the classes' sizes, so
+    that the links, of which there are many, needn't be joined with them."""
+    keyed = classes.select(F.struct("class_id", "copies").alias("k"), "bits").where("class_id is not null")
+    ends = [F.col(f"{end}.{name}").alias(alias) for end in "ab" for name, alias in (("class_id", end), ("copies", f"copies_{end}"))]
+    return hamming_links(keyed, "k", "bits", distance).select(*ends, "distance")
+
+
+def copy_labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(class_id, copies, label) of the classes that are linked or have several members; ``classes``: (class_id, copies)."""
+    labels = linked_labels(links).select(F.col("v").alias("class_id"), "label")
+    known = classes.join(labels, "class_id", "left").where("label is not null or copies > 1")
+    return known.select("class_id", "copies", F.coalesce("label", "class_id").alias("label"))
+
+
+def copy_groups(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(group_id, members, exact_pairs, similar_pairs, least_distance, kind) of the members of linked or repeated classes.
+
+    ``classes``: (class_id, copies), ``links``: as copy_links gives them. Copies are counted, not expanded
+    into pairs. ``least_distance`` is that of similar pairs, NULL where there are none.
+    """
+    placed = cut(copy_labels(classes, links))
+    members = placed.groupBy("label").agg(F.sum("copies").alias("members"), F.sum(F.expr("copies * (copies - 1) div 2")).alias("exact_pairs"))
+    sizes = links.groupBy("a").agg(F.sum(F.col("copies_a") * F.col("copies_b")).alias("pairs"), F.min("distance").alias("least"))
+    similar = sizes.join(placed, F.col("a") == F.col("class_id")).groupBy("label").agg(F.sum("pairs").alias("similar_pairs"), F.min("least").alias("least_distance"))
+    found = members.join(similar, "label", "left").withColumn("similar_pairs", F.coalesce("similar_pairs", F.lit(0).cast("bigint")))
+    kind = F.when(F.col("similar_pairs") == 0, "exact").when(F.col("exact_pairs") > 0, "mixed").otherwise("similar")
+    return found.select(F.col("label").alias("group_id"), "members", "exact_pairs", "similar_pairs", "least_distance", kind.alias("kind"))
+
+
+def copy_peers(members: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """(item, exact_peers, similar_peers, least_distance, best_peer) of ``members`` (key, class_id, copies) with a peer.
+
+    ``links``: as copy_links gives them. The best peer is the first other copy, else the first of those at the least distance: a class's id is its first member.
+    """
+    classes = members.groupBy("class_id").agg(F.first("copies").alias("copies"), F.min(F.when(F.col(key) != F.col("class_id"), F.col(key))).alias("second"))
+    ways = links.select(F.inline(F.array(F.struct(F.col("a").alias("class_id"), F.col("b").alias("peer"), F.col("copies_b").alias("peer_copies"), "distance"), F.struct(F.col("b").alias("class_id"), F.col("a").alias("peer"), F.col("copies_a").alias("peer_copies"), "distance"))))
+    near = ways.groupBy("class_id").agg(F.sum("peer_copies").alias("similar_peers"), F.min(F.struct("distance", "peer")).alias("best"))
+    of = classes.join(near, "class_id", "left").where("copies > 1 or best is not null")
+    own = F.when(F.col(key) == F.col("class_id"), F.col("second")).otherwise(F.col("class_id"))
+    return members.select(key, "class_id").join(of, "class_id").select(
+        F.col(key).alias("item"), (F.col("copies") - 1).alias("exact_peers"), F.coalesce("similar_peers", F.lit(0).cast("bigint")).alias("similar_peers"),
+        F.when(F.col("copies") > 1, 0).otherwise(F.col("best.distance")).alias("least_distance"), F.when(F.col("copies") > 1, own).otherwise(F.col("best.peer")).alias("best_peer"),
+    )

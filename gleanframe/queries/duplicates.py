@@ -34,10 +34,15 @@ def dup_text_groups(spark, folder):
     return d.exact_groups(rows, "doc_id", "content")
 
 
+def _bits(spark, folder) -> DataFrame:
+    """(item, bits) of the image vectors of 64 numbers."""
+    rows = table(spark, folder, "image_embedding_results", ["result_id", "vector"]).where(vector_status(F.col("vector"), 64).isin("ready", "not_unit"))
+    return rows.select(clean_id("result_id").alias("item"), d.sign_bits("vector").alias("bits"))
+
+
 def _fingerprints(spark, folder) -> DataFrame:
     """One row a fingerprint of the image vectors of 64 numbers: (bits, item), item the least result with it."""
-    rows = table(spark, folder, "image_embedding_results", ["result_id", "vector"]).where(vector_status(F.col("vector"), 64).isin("ready", "not_unit"))
-    return rows.select(clean_id("result_id").alias("item"), d.sign_bits("vector").alias("bits")).groupBy("bits").agg(F.min("item").alias("item"))
+    return _bits(spark, folder).groupBy("bits").agg(F.min("item").alias("item"))
 
 
 def dup_fingerprint_classes(spark, folder):
@@ -69,6 +74,27 @@ def dup_peer_summary_at_8(spark, folder):
     return d.peer_summary(dup_hamming_links_at_8(spark, folder))
 
 
+def dup_fingerprint_members(spark, folder):
+    """Every usable result with the least result of its fingerprint and their number."""
+    return d.exact_classes(_bits(spark, folder), "item", "bits").withColumnRenamed("item", "result_id")
+
+
+def _classes(spark, folder) -> DataFrame:
+    """(bits, class_id, copies): each fingerprint with its least result and the number of its results."""
+    return _bits(spark, folder).where("item is not null").distinct().groupBy("bits").agg(F.min("item").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def dup_result_groups(spark, folder):
+    """Groups of results, copies included, at the reference's distance."""
+    classes = _classes(spark, folder)
+    return d.copy_groups(classes, d.copy_links(classes, REFERENCE_DISTANCE))
+
+
+def dup_result_peers(spark, folder):
+    """The peers of results, copies included, at the reference's distance."""
+    return d.copy_peers(dup_fingerprint_members(spark, folder), "result_id", d.copy_links(_classes(spark, folder), REFERENCE_DISTANCE))
+
+
 def cosine_topk(spark, folder):
     rows = table(spark, folder, "embeddings", ["vec_id", "embedding"])
     query = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
@@ -115,9 +141,15 @@ links as (select a.item as a, b.item as b, cast(hamming(a.text, b.text) as int)
 ways as (select a as item, b as peer, distance from links union all select b, a, distance from links),
 reach(v, o) as (select item, item from ways union select r.v, w.peer from reach r join ways w on w.item = r.o), label as (select v, min(o) as label from reach group by 1)"""
 
+# All results, copies too, compared pair by pair.
+_RESULTS = """results as (select distinct lower(trim(result_id)) as item, array_to_string(list_transform(vector, lambda x: case when x > 0 then '1' else '0' end), '') as text
+  from image_embedding_results where trim(result_id) <> '' and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+ways as (select a.item, b.item as peer, cast(hamming(a.text, b.text) as int) as distance from results a join results b on a.item <> b.item and hamming(a.text, b.text) <= 8),
+reach(v, o) as (select item, item from ways union select r.v, w.peer from reach r join ways w on w.item = r.o), label as (select v, min(o) as label from reach group by 1)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (dup_exact_groups, dup_exact_members, dup_text_groups, dup_fingerprint_classes, dup_hamming_links, dup_components, dup_peer_summary, dup_hamming_links_at_8, dup_components_at_8, dup_peer_summary_at_8, cosine_topk, scene_scores, scene_predicate, vector_states)
+    for f in (dup_exact_groups, dup_exact_members, dup_text_groups, dup_fingerprint_classes, dup_hamming_links, dup_components, dup_peer_summary, dup_hamming_links_at_8, dup_components_at_8, dup_peer_summary_at_8, dup_fingerprint_members, dup_result_groups, dup_result_peers, cosine_topk, scene_scores, scene_predicate, vector_states)
 }
 _SCENES = """scores as (with m as (select label, i, avg(cast(embedding[i] as double)) as m from embeddings, range(1, 65) t(i) group by 1, 2),
   p as (select label, list(m order by i) as p from m group by 1)
@@ -141,6 +173,13 @@ select item, count(*) as peers, min(distance) as least_distance, arg_min(peer, (
   case when max(distance) = 0 then 'exact' when min(distance) = 0 then 'mixed' else 'similar' end as kind
 from links join label on v = a join (select label, count(*) as members from label group by 1) using (label) group by 1""",
     "dup_peer_summary_at_8": f"with recursive {_AT_8} select item, count(*) as peers, min(distance) as least_distance, arg_min(peer, (distance, peer)) as best_peer from ways group by 1",
+    "dup_fingerprint_members": f"with recursive {_RESULTS} select item as result_id, min(item) over w as class_id, count(*) over w as copies from results window w as (partition by text)",
+    "dup_result_groups": f"""with recursive {_RESULTS}, pairs as (select label, count(*) filter (where distance = 0) as exact_pairs, count(*) filter (where distance > 0) as similar_pairs, min(distance) filter (where distance > 0) as least_distance
+  from ways join label on v = item where item < peer group by 1)
+select label as group_id, (select count(*) from label l where l.label = p.label) as members, exact_pairs, similar_pairs, least_distance,
+  case when similar_pairs = 0 then 'exact' when exact_pairs = 0 then 'similar' else 'mixed' end as kind from pairs p""",
+    "dup_result_peers": f"""with recursive {_RESULTS} select item, count(*) filter (where distance = 0) as exact_peers, count(*) filter (where distance > 0) as similar_peers,
+  min(distance) as least_distance, arg_min(peer, (distance, peer)) as best_peer from ways group by 1""",
     "cosine_topk": """with s as (select e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 6) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q),
   r as (select *, row_number() over (order by score desc, vec_id) as rank, max(score) over () as best, lead(score) over (order by score desc, vec_id) as next from s)
 select vec_id, score, cast(rank as int) as rank, round(best - score, 6) as gap_from_best, round(score - next, 6) as gap_to_next from r where rank <= 20""",

@@ -10,11 +10,11 @@ from gleanframe.operators import predicates as p
 from gleanframe.operators import search as s
 from gleanframe.operators import snapshots as sn
 from gleanframe.operators.components import connected_components
-from gleanframe.operators.duplicates import linked_labels
+from gleanframe.operators.duplicates import copy_labels, linked_labels
 from gleanframe.operators.pairs import exact_subgroups, pair_page
 from gleanframe.operators.trigrams import search, trigrams
 from gleanframe.queries.conditions import _AND, _CELLS, _cells, condition_cells, unified_and, unified_cap
-from gleanframe.queries.duplicates import _AT_8, _BITS, current_photos, dup_hamming_links, dup_hamming_links_at_8
+from gleanframe.queries.duplicates import _AT_8, _BITS, _RESULTS, current_photos, dup_fingerprint_members, dup_hamming_links, dup_hamming_links_at_8
 from gleanframe.plans.conditions import cells_of
 from gleanframe.sources.tables import table
 
@@ -79,6 +79,13 @@ def component_subgroups_at_8(spark, folder):
     return _profile_subgroups(spark, folder, linked_labels(dup_hamming_links_at_8(spark, folder)))
 
 
+def result_subgroups(spark, folder):
+    """Thumbnail profiles that several results of one component share, copies included, at the reference's distance."""
+    members = dup_fingerprint_members(spark, folder)
+    placed = copy_labels(members.select("class_id", "copies").distinct(), dup_hamming_links_at_8(spark, folder))
+    return _profile_subgroups(spark, folder, members.join(placed, "class_id").select(F.col("result_id").alias("v"), "label"))
+
+
 def difference_hashes(spark, folder):
     """Hashes of the first 8 rows of 9 numbers made of each vector's elements and their neighbours."""
     grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.element_at("embedding", (i % 64 + 1).cast("int")))
@@ -99,7 +106,7 @@ def folder_name_keys(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (exact_pair_page, trigram_search, retrieval_counts, candidates_with_evidence, faulty_cells, snapshot_page, stale_selection, component_subgroups, component_subgroups_at_8, difference_hashes, hue_histogram, folder_name_keys)
+    for f in (exact_pair_page, trigram_search, retrieval_counts, candidates_with_evidence, faulty_cells, snapshot_page, stale_selection, component_subgroups, component_subgroups_at_8, result_subgroups, difference_hashes, hue_histogram, folder_name_keys)
 }
 _RGB = "(l_partkey * 37) % 256 as r, (l_suppkey * 91) % 256 as g, (l_orderkey * 53) % 256 as b"
 _GOOD = """coalesce(case when status in ('unknown_missing_index', 'unknown_stale', 'unknown_invalid') then raw_score is null and reason is not null
@@ -122,6 +129,8 @@ select photo_id from a join b using (photo_id) where a.p is distinct from b.p or
   label as (select v, min(o) as label from reach group by 1), c as (select distinct lower(trim(result_id)) as v, thumbnail_profile as content from image_embedding_results where thumbnail_profile is not null)
 select label, content, count(*) as members from label join c using (v) group by 1, 2 having count(*) > 1""",
     "component_subgroups_at_8": f"""with recursive {_AT_8} select label, content, count(*) as members
+from label join (select distinct lower(trim(result_id)) as v, thumbnail_profile as content from image_embedding_results where thumbnail_profile is not null) using (v) group by 1, 2 having count(*) > 1""",
+    "result_subgroups": f"""with recursive {_RESULTS} select label, content, count(*) as members
 from label join (select distinct lower(trim(result_id)) as v, thumbnail_profile as content from image_embedding_results where thumbnail_profile is not null) using (v) group by 1, 2 having count(*) > 1""",
     "difference_hashes": """select vec_id, cast(list_sum(list_transform(range(1, 64), lambda i: case when e[(i // 8 * 9 + i % 8) % 64 + 1] > e[(i // 8 * 9 + i % 8 + 1) % 64 + 1] then cast(1 as hugeint) << (63 - i) else cast(0 as hugeint) end)) as bigint)
   + case when e[1] > e[2] then (-9223372036854775807 - 1)::bigint else 0::bigint end as hash from (select vec_id, embedding as e from embeddings)""",
