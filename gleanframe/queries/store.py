@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions.dates import date_bucket, skip_reason
 from gleanframe.functions.ids import clean_id
+from gleanframe.functions.vectors import vector_status
 from gleanframe.operators import geometry as g
 from gleanframe.operators import reviews as r
 from gleanframe.operators import scopes as sc
@@ -124,6 +125,44 @@ def plan_actions(spark, folder):
     return v.plan_actions(_coverage(spark, folder)).groupBy("action").agg(F.count(F.lit(1)).alias("photos"))
 
 
+def _embedding_coverage(spark, folder):
+    """(photo_id, coverage) of vectors of the default profile, by the reference's rules.
+
+    The latest result of the photo's inputs counts. There are no previews among the tables, so the hash of the input image, the
+    preview's bytes and the vector's checksum (its stored bytes) aren't compared. Without a default profile this is an error.
+    """
+    profiles = table(spark, folder, "image_embedding_profiles", ["profile_id", "profile_json", "is_default", "created_at"])
+    default = profiles.where("is_default = 1").select(
+        clean_id("profile_id").alias("p"), F.get_json_object("profile_json", "$.dimensions").try_cast("int").alias("d"), "created_at"
+    ).orderBy(F.col("created_at").desc(), "p").first()
+    if default is None or default["d"] is None:
+        raise ValueError("no default profile")
+    photos = current_photos(spark, folder, "content_version", "thumbnail_profile", "ingest_state")
+    results = table(spark, folder, "image_embedding_results", ["result_id", "photo_id", "profile_id", "content_version", "thumbnail_profile", "vector", "dimensions", "dtype", "normalized", "vector_hash", "created_at"])
+    shape = (F.col("dimensions") == default["d"]) & (F.col("dtype") == "float32-le") & (F.col("normalized") == 1) & F.col("vector_hash").rlike("\\A[0-9a-f]{64}\\z")
+    valid = shape & (vector_status(F.col("vector"), default["d"]) == "ready")
+    own = results.where(clean_id("profile_id") == default["p"]).select(
+        clean_id("photo_id").alias("photo_id"), "content_version", "thumbnail_profile", F.struct("created_at", clean_id("result_id").alias("result_id"), F.coalesce(valid, F.lit(False)).alias("valid")).alias("result")
+    )
+    latest = own.groupBy("photo_id", "content_version", "thumbnail_profile").agg(F.max("result")["valid"].alias("valid"))
+    covered = v.coverage(photos, latest, "photo_id", ["content_version", "thumbnail_profile"])
+    usable = F.coalesce((F.col("ingest_state") == "available") & (F.col("content_version") != "") & (F.col("thumbnail_profile") != ""), F.lit(False))
+    status = F.when(~usable, "invalid_input").when(F.col("coverage") == "invalid_result", "invalid_vector").otherwise(F.col("coverage"))
+    return photos.join(covered, "photo_id").select("photo_id", status.alias("coverage"))
+
+
+def embedding_coverage(spark, folder):
+    return _embedding_coverage(spark, folder)
+
+
+def embedding_coverage_counts(spark, folder):
+    return _embedding_coverage(spark, folder).groupBy("coverage").agg(F.count(F.lit(1)).alias("photos"))
+
+
+def embedding_actions(spark, folder):
+    return v.plan_actions(_embedding_coverage(spark, folder)).groupBy("action").agg(F.count(F.lit(1)).alias("photos"))
+
+
 def merged_labels(spark, folder):
     """Labels of one rater over those of all."""
     rows = table(spark, folder, "document_labels", ["doc_id", "text_kind", "rater"])
@@ -210,6 +249,14 @@ _REASON = r"""case when t is null or t = '' then 'missing_datetime_original' whe
 _COVER = f"""(with r as (select lower(trim(photo_id)) as p, content_version as c, thumbnail_profile as t, bool_or(coalesce(len(vector) = dimensions, false)) as ok from image_embedding_results group by 1, 2, 3)
   select pid, case when r.ok then 'ready' when not r.ok then 'invalid_result' when exists (select 1 from r x where x.p = pid) then 'stale' else 'missing' end as coverage
   from {_CUR} q left join r on r.p = pid and r.c = q.content_version and r.t = q.thumbnail_profile)"""
+_EMBEDDED = f"""(with d as (select lower(trim(profile_id)) as p, cast(json_extract_string(profile_json, '$.dimensions') as int) as n from image_embedding_profiles where is_default = 1 order by created_at desc, 1 limit 1),
+  own as (select lower(trim(r.photo_id)) as pid, content_version as c, thumbnail_profile as t, coalesce(r.dimensions = d.n and len(r.vector) = d.n and r.dtype = 'float32-le' and r.normalized = 1 and regexp_full_match(r.vector_hash, '[0-9a-f]{{64}}')
+      and len(list_filter(r.vector, lambda x: x is null or not isfinite(x))) = 0 and abs(sqrt(list_sum(list_transform(r.vector, lambda x: cast(x as double) * x))) - 1) <= 1e-4, false) as ok,
+    row_number() over (partition by lower(trim(r.photo_id)), content_version, thumbnail_profile order by r.created_at desc nulls last, lower(trim(r.result_id)) desc nulls last) as k
+    from image_embedding_results r join d on lower(trim(r.profile_id)) = d.p)
+  select q.pid, case when coalesce(q.ingest_state, '') <> 'available' or coalesce(q.content_version, '') = '' or coalesce(q.thumbnail_profile, '') = '' then 'invalid_input'
+    when o.ok then 'ready' when o.pid is not null then 'invalid_vector' when q.pid in (select pid from own where pid is not null) then 'stale' else 'missing' end as coverage
+  from {_CUR} q left join (select * from own where k = 1) o on o.pid = q.pid and o.c = q.content_version and o.t = q.thumbnail_profile)"""
 _FIRST = "select lower(trim(photo_id)) as p, created_at, updated_at, sha256(coalesce(metadata_json, '')) as ver, original_status as st from photos where trim(photo_id) <> ''"
 _DIFF = f"""with e as ({_FIRST}), a as (select * from (select *, row_number() over (partition by p order by updated_at, ver) as k from e) where k = 1 and created_at < timestamp '2024-06-01'),
   b as (select * from (select *, row_number() over (partition by p order by updated_at desc, ver) as k from e) where k = 1 and created_at >= timestamp '2024-01-15')
@@ -220,7 +267,7 @@ _SUM = " + ".join(f"s{i}" for i in range(6))
 
 QUERIES = {
     f.__name__: f
-    for f in (scope_union, scope_intersection, folder_sizes, folder_search, folder_addition, selection_refused, keyset_pages, date_buckets, date_skips, scan_diff, scan_diff_counts, coverage_states, coverage_counts, plan_actions, merged_labels, dependency_reach, review_means, latest_per_key, usage_totals, json_props, batch_ordinals, changed_events, box_areas, event_windows, stream_scan_diff)
+    for f in (scope_union, scope_intersection, folder_sizes, folder_search, folder_addition, selection_refused, keyset_pages, date_buckets, date_skips, scan_diff, scan_diff_counts, coverage_states, coverage_counts, plan_actions, embedding_coverage, embedding_coverage_counts, embedding_actions, merged_labels, dependency_reach, review_means, latest_per_key, usage_totals, json_props, batch_ordinals, changed_events, box_areas, event_windows, stream_scan_diff)
 }
 SQL = {
     "scope_union": f"with {_M} select distinct item from m join two using (f)",
@@ -242,6 +289,9 @@ union all select 'down', key, value, case when (select count(*) from d) > 20 the
     "coverage_states": f"select pid as photo_id, coverage from {_COVER}",
     "coverage_counts": f"select coverage, count(*) as photos from {_COVER} group by 1",
     "plan_actions": f"select case when coverage = 'ready' then 'reuse' else 'compute' end as action, count(*) as photos from {_COVER} group by 1",
+    "embedding_coverage": f"select pid as photo_id, coverage from {_EMBEDDED}",
+    "embedding_coverage_counts": f"select coverage, count(*) as photos from {_EMBEDDED} group by 1",
+    "embedding_actions": f"select case coverage when 'ready' then 'reuse' when 'invalid_input' then 'skip' else 'compute' end as action, count(*) as photos from {_EMBEDDED} group by 1",
     "merged_labels": "select doc_id, coalesce(min(text_kind) filter (where rater = 'rater_1'), min(text_kind)) as text_kind from document_labels group by 1",
     "dependency_reach": """with recursive e as (select n_nationkey as s, (n_nationkey + 1) % 25 as t from nation union select n_nationkey, n_regionkey from nation),
   w(start, node, steps) as (select s, t, 1 from e union select start, t, steps + 1 from w join e on s = node where steps < 25)
