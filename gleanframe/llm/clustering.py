@@ -2,8 +2,8 @@
 
 Each partition grows a cluster-feature tree (count, sum and sum of squares of a leaf's vectors) that absorbs a vector where its
 mean cosine with a leaf's members reaches the limit; sums of unit vectors give mean cosines between leaves exactly. Leaf
-summaries of all partitions are merged in rounds, cell by cell of a centroid graph, by Ward's criterion among those whose mean
-cosine reaches the limit. A set whose members all reach the limit with each other and with no one else is never split or mixed
+summaries of all partitions are reduced together in rounds, cell by cell of an index, by Ward's criterion among those whose mean
+cosine reaches the limit; each round has other cells, and there are rounds until one finds next to nothing to merge. A set whose members all reach the limit with each other and with no one else is never split or mixed
 by either rule, so it arrives as one summary. One pass then assigns every vector to the summary with the greatest mean cosine.
 """
 
@@ -18,21 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanframe.llm.neighbours import IndexSettings, build_index, list_sizes, post
-from gleanframe.llm.vectors import CentroidGraph, blocked, float_lists, in_batches, matrix, split_copies
+from gleanframe.llm.neighbours import Index, IndexSettings, build_index, in_lists, post
+from gleanframe.llm.vectors import as_first, blocked, crowded, float_lists, in_batches, matrix, split_copies, with_blocks
+from gleanframe.operators.skew import heaviest, salted_join
 from gleanframe.session import cut
 
 
 @dataclass(frozen=True)
 class ClusterSettings:
     """``fan``: entries of a tree node. ``most_leaves``: leaves a partition's tree holds before it hands them on and starts
-    anew. ``cell_rows``: summaries merged at once. ``rounds``: merges, each in other cells. ``index`` lays out the lists in
-    which vectors are assigned and compared."""
+    anew. ``cell_rows``: summaries merged at once. ``few``: a round that takes away no more than this share of the summaries is the last. ``spread``:
+    lists that a cluster is sent to at first; it then goes to every other list of a member. ``index`` lays out the lists in which vectors are
+    assigned and compared."""
 
     fan: int = 24
     most_leaves: int = 20000
     cell_rows: int = 4096
-    rounds: int = 4
+    few: float = 0.0005
+    spread: int = 16
     index: IndexSettings = IndexSettings()
 
 
@@ -47,6 +50,26 @@ class FeatureTree:
     def _node(self, leaf: bool) -> dict:
         return {"sum": np.zeros((self.fan + 1, self.d)), "count": np.zeros(self.fan + 1), "used": 0, "below": None if leaf else []}
 
+    def add_all(self, x: np.ndarray) -> None:
+        """Adds rows: those that leaves absorb all at once, the others one by one."""
+        for row in x[self._absorb(self.root, x)] if self.leaves else x:
+            self.add(row)
+
+    def _absorb(self, node: dict, x: np.ndarray) -> np.ndarray:
+        """Which rows no leaf below ``node`` absorbs."""
+        used = node["used"]
+        score = x @ (node["sum"][:used] / node["count"][:used, None]).T
+        best = score.argmax(1)
+        left = score[np.arange(len(x)), best] < self.limit if node["below"] is None else np.zeros(len(x), bool)
+        for i in np.unique(best):
+            rows = np.flatnonzero(best == i)
+            if node["below"] is not None:
+                left[rows] = self._absorb(node["below"][i], x[rows])
+            taken = rows[~left[rows]]
+            node["sum"][i] += x[taken].sum(0)
+            node["count"][i] += len(taken)
+        return left
+
     def add(self, x: np.ndarray) -> None:
         split = self._add(self.root, x)
         if split:
@@ -188,10 +211,11 @@ def _leaf_features(vectors: DataFrame, vector: str, limit: float, settings: Clus
             )
 
         for batch in stream:
-            for x in matrix(batch.column(0)) if batch.num_rows else ():
+            rows = matrix(batch.column(0)) if batch.num_rows else ()
+            for i in range(0, len(rows), 512):
                 if tree is None:
-                    tree = FeatureTree(len(x), limit, settings.fan)
-                tree.add(x)
+                    tree = FeatureTree(rows.shape[1], limit, settings.fan)
+                tree.add_all(rows[i : i + 512])
                 if tree.leaves >= settings.most_leaves:
                     yield hand_on(tree)
                     made += tree.leaves
@@ -208,19 +232,22 @@ def _raw(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _merged_features(features: DataFrame, graph: CentroidGraph, limit: float, most: int, seed: int) -> DataFrame:
+def _nearest_only(cosines: np.ndarray) -> np.ndarray:
+    return (np.arange(cosines.shape[1]) == 0)[None, :] & (cosines > -1.5)
+
+
+def _merged_features(features: DataFrame, cells: Index, limit: float, settings: ClusterSettings, seed: int) -> DataFrame:
     """Summaries after one round of Ward agglomeration in each cell. A crowded cell is merged in slices along a direction of
     this round, in which summaries that are close mostly share a slice."""
-    shared = features.sparkSession.sparkContext.broadcast(graph)
 
-    def locate(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def along(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = matrix(batch.column(2))
-        ids, _ = shared.value.search(x, 4)
         direction = np.random.default_rng(seed).standard_normal(x.shape[1])
-        along = 1 / (1 + np.exp(-1.7 * (x @ direction)))  # about even between 0 and 1
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[:, 0].astype(np.int32)), pa.array(along)], ["id", "n", "mean", "cell", "along"])
+        even = 1 / (1 + np.exp(-1.7 * (x @ direction)))  # about even between 0 and 1
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(even)], [*batch.schema.names, "along"])
 
     def merge(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("id")
         mean, n = _raw(table["mean"]), table["n"].to_numpy()
         owner = ward(mean, n, limit)
         who, group = np.unique(owner, return_inverse=True)
@@ -229,29 +256,36 @@ def _merged_features(features: DataFrame, graph: CentroidGraph, limit: float, mo
         np.add.at(sums, group, mean * n[:, None])
         return pa.table({"id": pa.array(table["id"].to_numpy()[who]), "n": pa.array(total.astype(np.int64)), "mean": float_lists(sums / total[:, None])})
 
-    located = cut(features.mapInArrow(in_batches(locate), _FEATURES + ", cell int, along double"))
-    sizes = dict(map(tuple, located.groupBy("cell").count().collect()))
-    crowded = {c: -(-s // most) for c, s in sizes.items() if s > most}
-    part = F.lit(0)
-    if crowded:
-        parts = F.create_map(*(F.lit(x) for pair in crowded.items() for x in pair))
-        part = F.coalesce(F.floor(F.col("along") * F.try_element_at(parts, F.col("cell"))).cast("int"), F.lit(0))
-    return located.withColumn("part", part).groupBy("cell", "part").applyInArrow(merge, _FEATURES)
+    located = in_lists(features, "id", "mean", cells, settings.index, _nearest_only, 1).drop("home")
+    located = cut(located.mapInArrow(in_batches(along), _FEATURES + ", list bigint, along double"))
+    sliced = with_blocks(located, "list", crowded(located, "list", settings.cell_rows), F.col("id"))
+    part = F.least(F.floor(F.col("along") * F.col("blocks")).cast("int"), F.col("blocks") - 1)
+    return sliced.withColumn("part", part).drop("blocks", "along").groupBy("list", "part").applyInArrow(merge, _FEATURES)
+
+
+def _reaches(x: np.ndarray, single: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Whether the cosine of rows ``a`` and ``b`` reaches the limit at six decimals; near it single precision doesn't tell."""
+    c = single[a] @ single[b].T
+    near = c >= limit
+    row, col = np.nonzero(np.abs(c - np.float32(limit)) < 1e-5)
+    near[row, col] = np.round(np.einsum("ij,ij->i", x[a[row]], x[b[col]]), 6) >= limit
+    return near
 
 
 def _with_clusters(units: DataFrame, clusters: DataFrame, key: str, vector: str, limit: float) -> DataFrame:
     """In each work unit: which cluster each home vector belongs to, and whether a pair of vectors speaks against one.
 
-    Returns (key, cluster, cosine, bad): the cluster of a home vector (NULL key: only a verdict), its cosine with the
+    Returns (list, key, cluster, cosine, bad): the cluster of a home vector (NULL key: only a verdict), its cosine with the
     cluster's mean, and whether a vector outside reaches the limit with a member or one inside doesn't.
     """
     kind = dict(units.dtypes)[key]
 
     def run(k: tuple, vectors: pa.Table, found: pa.Table) -> pa.Table:
         vectors, found = vectors.combine_chunks(), found.combine_chunks()
-        empty = pa.table({key: pa.array([], vectors.schema.field(key).type), "cluster": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64()), "bad": pa.array([], pa.bool_())})
+        empty = pa.table({"list": pa.array([], pa.int64()), key: pa.array([], vectors.schema.field(key).type), "cluster": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64()), "bad": pa.array([], pa.bool_())})
         if not vectors.num_rows or not found.num_rows:
             return empty
+        found = found.sort_by("id")
         x, means, ids = matrix(vectors[vector]), _raw(found["mean"]), found["id"].to_numpy()
         label = np.full(len(x), -1, np.int64)
         nearest = np.zeros(len(x))
@@ -264,10 +298,11 @@ def _with_clusters(units: DataFrame, clusters: DataFrame, key: str, vector: str,
         first, second = k[1].as_py(), k[2].as_py()
         block = vectors["block"].to_numpy()
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        single = x.astype(np.float32)
         against = np.zeros(len(means) + 1, bool)
         for i in range(0, len(a), 1024):
             part = a[i : i + 1024]
-            near = np.round(x[part] @ x[b].T, 6) >= limit
+            near = _reaches(x, single, part, b, limit)
             inside = (label[part][:, None] == label[b][None, :]) & (label[part] >= 0)[:, None]
             row, col = np.nonzero(near != inside)
             # two vectors without a cluster may be close: there is nothing to speak against
@@ -277,29 +312,55 @@ def _with_clusters(units: DataFrame, clusters: DataFrame, key: str, vector: str,
         told = np.flatnonzero(against)
         mine = np.flatnonzero(vectors["home"].to_numpy(zero_copy_only=False) & (label >= 0) & (block == first)) if first == second else np.zeros(0, int)
         names = vectors[key].combine_chunks()
-        rows = pa.table({key: names.take(pa.array(mine)), "cluster": pa.array(ids[label[mine]]), "cosine": pa.array(nearest[mine]), "bad": pa.array(np.zeros(len(mine), bool))})
-        verdicts = pa.table({key: pa.nulls(len(told), rows.schema.field(key).type), "cluster": pa.array(ids[told]), "cosine": pa.nulls(len(told), pa.float64()), "bad": pa.array(np.ones(len(told), bool))})
+        here = k[0].as_py()
+        rows = pa.table({"list": pa.array(np.full(len(mine), here, np.int64)), key: names.take(pa.array(mine)), "cluster": pa.array(ids[label[mine]]), "cosine": pa.array(nearest[mine]), "bad": pa.array(np.zeros(len(mine), bool))})
+        verdicts = pa.table({"list": pa.array(np.full(len(told), here, np.int64)), key: pa.nulls(len(told), rows.schema.field(key).type), "cluster": pa.array(ids[told]), "cosine": pa.nulls(len(told), pa.float64()), "bad": pa.array(np.ones(len(told), bool))})
         return pa.concat_tables([rows, verdicts])
 
     cell = ["list", "unit_a", "unit_b"]
-    return units.groupBy(*cell).cogroup(clusters.groupBy(*cell)).applyInArrow(run, f"`{key}` {kind}, cluster bigint, cosine double, bad boolean")
+    return units.groupBy(*cell).cogroup(clusters.groupBy(*cell)).applyInArrow(run, f"list bigint, `{key}` {kind}, cluster bigint, cosine double, bad boolean")
 
 
 def _disagreeing(members: DataFrame, key: str, vector: str, limit: float, most: int) -> DataFrame:
     """(cluster) of which two members don't reach the limit; ``members``: (cluster, key, vector). Blocks, as in lists."""
-    sizes = {r[0]: r[1] for r in members.groupBy("cluster").count().where(F.col("count") > most).collect()}
-    units = blocked(members, key, "cluster", sizes, most)
+    units = blocked(members, key, "cluster", crowded(members, "cluster", most))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         x, block = matrix(table[vector]), table["block"].to_numpy()
+        single = x.astype(np.float32)
         a, b = (np.flatnonzero(block == table[c][0].as_py()) for c in ("unit_a", "unit_b"))
-        apart = any((np.round(x[a[i : i + 1024]] @ x[b].T, 6) < limit).any() for i in range(0, len(a), 1024))
+        apart = not all(_reaches(x, single, a[i : i + 1024], b, limit).all() for i in range(0, len(a), 1024))
         return pa.table({"cluster": pa.array([table["cluster"][0].as_py()] * apart, pa.int64())})
 
     return units.groupBy("cluster", "unit_a", "unit_b").applyInArrow(run, "cluster bigint").distinct()
 
 
+def merged_leaves(vectors: DataFrame, postings: DataFrame, key: str, vector: str, rows: int, index: Index, limit: float, settings: ClusterSettings) -> DataFrame:
+    """(id, n, mean): the leaves of all partitions' trees, reduced until a round takes next to none of them away."""
+    features = cut(_leaf_features(postings.where("home"), vector, limit, settings))
+    before, r = features.count(), 0
+    while True:
+        cells = index if r == 0 else build_index(vectors, key, vector, rows, settings.index, seed=2 * r)
+        features = cut(_merged_features(features, cells, limit, settings, r))
+        now = features.count()
+        if before - now <= settings.few * before:
+            return features
+        before, r = now, r + 1
+
+
+def _told(postings: DataFrame, sent: DataFrame, key: str, vector: str, limit: float, hot: DataFrame) -> DataFrame:
+    """``_with_clusters`` of the lists of ``postings`` and the clusters sent to them: ``sent`` (id, mean, list)."""
+    in_units = (
+        with_blocks(sent, "list", hot, F.col("id"))
+        .withColumn("unit_a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("unit_b", F.explode(F.sequence(F.col("unit_a"), F.col("blocks") - 1)))
+        .drop("blocks")
+    )
+    units = blocked(postings, key, "list", hot).select(key, vector, "home", "list", "block", "unit_a", "unit_b")
+    return cut(_with_clusters(units, in_units, key, vector, limit))
+
+
 def cluster_vectors(
     vectors: DataFrame, key: str, vector: str, limit: float, least: int, settings: ClusterSettings = ClusterSettings()
 ) -> DataFrame:
@@ -308,58 +369,49 @@ def cluster_vectors(
     A cluster is a set of ``least`` or more vectors of which every two have a cosine of ``limit`` or more (six decimals) while
     no other vector reaches it with any of them; cluster_id is its least key. ``vectors`` has one usable vector a key (not
     NULL). Vectors that belong nowhere don't come out; an empty table gives no rows. Members are checked against each other
-    exactly; outside vectors are looked for in the lists that a member shares with them.
+    exactly; outside vectors are looked for in every list that a member is posted to.
     """
-    index = settings.index
     kind = dict(vectors.dtypes)[key]
     vectors, extra = split_copies(cut(vectors.select(key, vector)), key, vector, max(least, 8))
     rows = vectors.count()
-    graph = build_index(vectors, key, vector, rows, index)
-    if graph is None:
+    index = build_index(vectors, key, vector, rows, settings.index)
+    if index is None:
         return vectors.sparkSession.createDataFrame([], f"`{key}` {kind}, cluster_id {kind}, cosine double")
-    postings = cut(post(vectors, key, vector, graph, index))
-    features = _leaf_features(postings.where("home"), vector, limit, settings)
-    for r in range(settings.rounds):
-        cells = graph if r == 0 else build_index(vectors, key, vector, rows, index, seed=r)
-        features = _merged_features(features, cells, limit, settings.cell_rows, r)
-    clusters = cut(features.where(F.col("n") >= least))
-    sizes = list_sizes(postings)
-    shared = vectors.sparkSession.sparkContext.broadcast(graph)
-    reach = 2 * float(np.sin(np.arccos(limit) / 4))
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # Where a member's nearest centre may be: no further than the cluster's own nearest and twice the radius within
-        # which every two members reach the limit.
-        ids, cosines = shared.value.search(matrix(batch.column(2)), 6 * index.width)
-        distance = np.sqrt(np.maximum(2 - 2 * cosines, 0))
-        row, rank = np.nonzero((cosines > -1.5) & (distance <= distance[:, :1] + 2 * reach))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(ids[row, rank].astype(np.int32))], ["id", "mean", "list"])
-
-    in_lists = clusters.mapInArrow(in_batches(spread), "id bigint, mean array<float>, list int")
-    hot = {k: -(-n // index.block_rows) for k, n in sizes.items() if n > index.block_rows}
-    blocks = F.lit(1)
-    if hot:
-        blocks = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in hot.items() for x in p)), F.col("list")), F.lit(1))
-    in_units = (
-        in_lists.withColumn("unit_a", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("unit_b", F.explode(F.sequence(F.col("unit_a"), blocks - 1)))
-    )
-    units = blocked(postings, key, "list", sizes, index.block_rows).select(key, vector, "home", "list", "block", "unit_a", "unit_b")
-    told = cut(_with_clusters(units, in_units, key, vector, limit))
+    postings = cut(post(vectors, key, vector, index, settings.index))
+    features = merged_leaves(vectors, postings, key, vector, rows, index, limit, settings)
+    clusters = cut(features.where(F.col("n") >= least).select("id", "mean"))
+    hot = crowded(postings, "list", settings.index.block_rows)
+    near = lambda cosines: cosines > -1.5
+    sent = cut(in_lists(clusters, "id", "mean", index, settings.index, near, settings.spread).drop("home"))
+    told = _told(postings, sent, key, vector, limit, hot)
+    while True:
+        # A cluster's verdict is whole when it has been in every list of its members.
+        members = told.where(F.col(key).isNotNull()).select(key, F.col("cluster").alias("id"))
+        wanted = members.join(postings.select(key, "list"), key).select("id", "list").distinct()
+        missing = cut(wanted.join(sent.select("id", "list"), ["id", "list"], "left_anti"))
+        if missing.isEmpty():
+            break
+        again = cut(missing.select("list").distinct())
+        sent = cut(sent.unionByName(missing.join(clusters, "id")))
+        told = cut(told.join(again, "list", "left_anti").unionByName(_told(postings.join(again, "list", "left_semi"), sent.join(again, "list", "left_semi"), key, vector, limit, hot)))
     summary = cut(
         told.groupBy("cluster").agg(
             F.count(key).alias("size"), F.min(key).alias("cluster_id"), F.min("cosine").alias("least_cosine"), F.bool_or("bad").alias("bad")
         ).where((F.col("size") >= least) & ~F.col("bad"))
     )
-    members = told.where(F.col(key).isNotNull()).join(summary, "cluster").select("cluster", key, "cosine", "cluster_id", "least_cosine")
+    heavy = heaviest(summary, ["cluster"], "size")
+    home = told.where(F.col(key).isNotNull()).select("cluster", key, "cosine")
     # Within half the limit's angle of the mean every two members reach it; the others are compared.
-    wide = members.where(F.acos("least_cosine") * 2 > float(np.arccos(limit)) - 1e-6).select("cluster", key)
-    apart = _disagreeing(wide.join(postings.where("home").select(key, vector), key), key, vector, limit, index.block_rows)
-    valid = members.join(apart, "cluster", "left_anti").select(key, "cluster_id", "cosine")
+    wide = summary.where(F.acos("least_cosine") * 2 > float(np.arccos(limit)) - 1e-6).select("cluster")
+    compared = salted_join(home.drop("cosine"), wide, ["cluster"], heavy, F.col(key)).join(postings.where("home").select(key, vector), key)
+    apart = _disagreeing(compared, key, vector, limit, settings.index.block_rows)
+    sound = summary.select("cluster", "cluster_id").join(apart, "cluster", "left_anti")
+    valid = salted_join(home, sound, ["cluster"], heavy, F.col(key)).select(key, "cluster_id", "cosine")
     if extra is None:
         return valid
     # Further copies go where the first copy is.
-    return valid.unionByName(extra.join(valid.withColumnRenamed(key, "first"), "first").select(key, "cluster_id", "cosine"))
+    valid = cut(valid)
+    return valid.unionByName(as_first(extra, valid, key).select(key, "cluster_id", "cosine"))
 
 
 def describe_clusters(members: DataFrame, key: str, typical: int = 3) -> DataFrame:

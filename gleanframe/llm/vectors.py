@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions.ids import clean_id
 from gleanframe.operators.current import current_rows
+from gleanframe.operators.skew import heaviest, salted_join
 from gleanframe.session import cut
 
 
@@ -112,7 +113,7 @@ def balanced_centres(x: np.ndarray, k: int, rounds: int = 6, weight: float = 0.0
 
 @dataclass
 class CentroidGraph:
-    """A navigable graph over centroids, searched by best-first steps for many queries at once."""
+    """A navigable graph over centroids, searched best first for many queries at once."""
 
     centres: np.ndarray
     links: np.ndarray
@@ -120,66 +121,89 @@ class CentroidGraph:
 
     @staticmethod
     def build(centres: np.ndarray, degree: int = 24) -> CentroidGraph:
-        """Each centre is linked with those nearest to it and, against dead ends, with its neighbours in number."""
+        """Each centre is linked with those nearest to it, with those that it is nearest to, and, against dead ends, with its
+        neighbours in number."""
         n = len(centres)
         degree = min(degree, max(n - 1, 1))
-        links = np.zeros((n, degree + 2), np.int32)
+        # Single precision finds the same lists at half the cost; cosines of results are computed elsewhere, in double.
+        centres = centres.astype(np.float32)
+        near = np.zeros((n, degree), np.int32)
         for i in range(0, n, 2048):
             s = centres[i : i + 2048] @ centres.T
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-            links[i : i + len(s), :degree] = np.argpartition(-s, degree - 1, 1)[:, :degree] if n > 1 else 0
-        links[:, degree] = (np.arange(n) + 1) % n
-        links[:, degree + 1] = (np.arange(n) - 1) % n
-        # Single precision finds the same lists at half the cost; cosines of results are computed elsewhere, in double.
-        centres = centres.astype(np.float32)
+            near[i : i + len(s)] = np.argpartition(-s, degree - 1, 1)[:, :degree] if n > 1 else 0
+        # Ways back, as many again: a centre that is nobody's neighbour would not be found.
+        to, of = near.ravel(), np.repeat(np.arange(n, dtype=np.int32), degree)
+        order = np.argsort(to, kind="stable")
+        to, of = to[order], of[order]
+        place = np.arange(len(to)) - np.searchsorted(to, to)
+        back = np.repeat(((np.arange(n) + 1) % n).astype(np.int32)[:, None], degree, 1)
+        kept = place < degree
+        back[to[kept], place[kept]] = of[kept]
+        around = np.stack([(np.arange(n) + 1) % n, (np.arange(n) - 1) % n], 1).astype(np.int32)
         hubs = np.unique(np.linspace(0, n - 1, max(1, int(4 * np.sqrt(n)))).astype(int))
-        return CentroidGraph(centres, links, hubs)
+        return CentroidGraph(centres, np.concatenate([near, back, around], 1), hubs)
 
-    def search(self, x: np.ndarray, width: int, steps: int = 8, grow: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of ``x`` up to ``width`` near centres, nearest first, with their cosines; -1 and -2 where fewer."""
+    def search(self, x: np.ndarray, width: int, beam: int = 64, grow: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of ``x`` up to ``width`` near centres, nearest first, with their cosines; -1 and -2 where fewer.
+
+        A search goes on until the ``beam`` best centres seen have all been left by their links, so none that they lead to is
+        better. A graph of no more centres than a search would look at is looked at whole.
+        """
+        beam = max(beam, width)
         ids, cosines = np.full((len(x), width), -1, np.int32), np.full((len(x), width), -2.0)
+        whole = len(self.centres) <= beam * self.links.shape[1]
         for i in range(0, len(x), 512):
-            ids[i : i + 512], cosines[i : i + 512] = self._search(x[i : i + 512].astype(np.float32), width, steps, grow)
+            part = x[i : i + 512].astype(np.float32)
+            found, c = self._scan(part, width) if whole else self._search(part, beam, grow)
+            ids[i : i + 512, : found.shape[1]], cosines[i : i + 512, : found.shape[1]] = found[:, :width], c[:, :width]
         return ids, cosines
 
-    def _search(self, x: np.ndarray, width: int, steps: int, grow: int) -> tuple[np.ndarray, np.ndarray]:
-        b = len(x)
-        rows = np.arange(b)[:, None]
+    def _scan(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        c = x @ self.centres.T
+        width = min(width, c.shape[1])
+        rows = np.arange(len(x))[:, None]
+        best = np.argpartition(-c, width - 1, 1)[:, :width]
+        best = best[rows, np.argsort(-c[rows, best], 1, kind="stable")]
+        return best, c[rows, best]
+
+    def _search(self, x: np.ndarray, beam: int, grow: int) -> tuple[np.ndarray, np.ndarray]:
+        n, b = len(self.centres), len(x)
         near = x @ self.centres[self.hubs].T
         first = min(grow, len(self.hubs))
         start = np.argpartition(-near, first - 1, 1)[:, :first]
-        ids = np.full((b, width), -1, np.int64)
-        cos = np.full((b, width), -2.0, np.float32)
-        first = min(first, width)
-        ids[:, :first] = self.hubs[start[:, :first]]
-        cos[:, :first] = near[rows, start[:, :first]]
-        done = ids < 0
-        for _ in range(steps):
-            order = np.argsort(np.where(done, 3.0, -cos), 1)[:, : min(grow, width)]
-            fresh = ~done[rows, order]
-            if not fresh.any():
-                break
-            done[rows, order] = True
-            more = self.links[np.maximum(ids[rows, order], 0)]
-            more = np.where(fresh[:, :, None], more, -1).reshape(b, -1)
-            c = np.einsum("bkd,bd->bk", self.centres[np.maximum(more, 0)], x)
-            c[more < 0] = -2.0
-            every, value = np.concatenate([ids, more], 1), np.concatenate([cos, c], 1)
-            state = np.concatenate([done, more < 0], 1)
-            # one entry for each centre: the one that was there first, with its state
-            by = np.argsort(every, 1, kind="stable")
-            sorted_ids = every[rows, by]
-            again = np.zeros_like(sorted_ids, bool)
-            again[:, 1:] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
-            drop = np.zeros_like(again)
-            drop[rows, by] = again
-            value[drop] = -3.0
-            best = np.argsort(-value, 1, kind="stable")[:, :width]
-            ids, cos, done = every[rows, best], value[rows, best], state[rows, best]
-            gone = cos < -1.5
-            ids[gone], cos[gone], done[gone] = -1, -2.0, True
+        every = np.arange(b)[:, None]
+        ids, cos = np.full((b, beam), -1, np.int64), np.full((b, beam), -2.0, np.float32)
+        ids[:, :first], cos[:, :first] = self.hubs[start], near[every, start]
+        left = ids < 0  # whose links have been followed
+        seen = np.zeros((b, n), bool)
+        seen[every, ids[:, :first]] = True
+        active = np.arange(b)
+        while len(active):
+            rows = np.arange(len(active))[:, None]
+            i, c, d = ids[active], cos[active], left[active]
+            order = np.argsort(np.where(d, 3.0, -c), 1, kind="stable")[:, :grow]
+            fresh = ~d[rows, order]
+            going = fresh.any(1)
+            if not going.all():
+                active = active[going]
+                continue
+            d[rows, order] = True
+            more = np.sort(np.where(fresh[:, :, None], self.links[np.maximum(i[rows, order], 0)], n).reshape(len(active), -1), 1)
+            new = more < n
+            new[:, 1:] &= more[:, 1:] != more[:, :-1]
+            more = np.minimum(more, n - 1)
+            new &= ~seen[active[:, None], more]
+            row, col = np.nonzero(new)
+            seen[active[row], more[row, col]] = True
+            value = np.full(more.shape, -2.0, np.float32)
+            value[row, col] = np.einsum("kd,kd->k", self.centres[more[row, col]], x[active[row]])
+            every_id, every_cos = np.concatenate([i, more], 1), np.concatenate([c, value], 1)
+            every_left = np.concatenate([d, ~new], 1)
+            best = np.argpartition(-every_cos, beam - 1, 1)[:, :beam]
+            ids[active], cos[active], left[active] = every_id[rows, best], every_cos[rows, best], every_left[rows, best]
         best = np.argsort(-cos, 1, kind="stable")
-        return ids[rows, best], cos[rows, best]
+        return np.where(cos > -1.5, ids, -1)[every, best], cos[every, best]
 
 
 def lists_of(cosines: np.ndarray, ratio: float) -> np.ndarray:
@@ -188,43 +212,64 @@ def lists_of(cosines: np.ndarray, ratio: float) -> np.ndarray:
     return (cosines > -1.5) & (distance <= ratio * np.maximum(distance[:, :1], 1e-9))
 
 
-def blocked(postings: DataFrame, key: str, lists: str, sizes: dict[int, int], most: int) -> DataFrame:
+def crowded(rows: DataFrame, lists: str, most: int) -> DataFrame:
+    """(lists, blocks) of the lists of more than ``most`` rows: in how many blocks they are divided."""
+    n = F.count(F.lit(1))
+    return cut(rows.groupBy(lists).agg(n.alias("n")).where(F.col("n") > most).select(lists, F.ceil(F.col("n") / most).cast("int").alias("blocks")))
+
+
+def with_blocks(rows: DataFrame, lists: str, hot: DataFrame, spread: Column) -> DataFrame:
+    """``rows`` with ``blocks``, 1 where a list isn't in ``hot``.
+
+    Few crowded lists are broadcast. Beyond 2¹⁸ of them (of 12 bytes each) the rows are joined, a list's rows in 64 parts by
+    ``spread``, as these lists are the ones with many rows.
+    """
+    if hot.count() <= 1 << 18:
+        found = rows.join(F.broadcast(hot), lists, "left")
+    else:
+        parts = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        found = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), spread), F.lit(64)).cast("int")).join(parts, [lists, "_part"], "left").drop("_part")
+    return found.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def blocked(postings: DataFrame, key: str, lists: str, hot: DataFrame) -> DataFrame:
     """Each row once for each work unit that it takes part in: (…, unit_a, unit_b, block).
 
-    A list of up to ``most`` rows is one unit. A longer one is divided into blocks by a hash of the key, and each pair of
-    blocks is a unit, so that all pairs of rows of a list meet in exactly one unit (rows of one block in their own).
+    A list that isn't in ``hot`` (as ``crowded`` gives it) is one unit. The others are divided into blocks by a hash of the key,
+    and each pair of blocks is a unit, so that all pairs of rows of a list meet in exactly one unit (rows of one block in their own).
     """
-    hot = {k: -(-n // most) for k, n in sizes.items() if n > most}
-    if not hot:
-        return postings.withColumns({"block": F.lit(0), "unit_a": F.lit(0), "unit_b": F.lit(0)})
-    spread = F.create_map(*(F.lit(x) for pair in hot.items() for x in pair))
-    n = F.coalesce(F.try_element_at(spread, F.col(lists)), F.lit(1))
-    with_block = postings.withColumn("_n", n).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.col("_n")).cast("int"))
+    with_block = with_blocks(postings, lists, hot, F.col(key)).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.col("blocks")).cast("int"))
     return (
-        with_block.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        with_block.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"unit_a": F.least("block", "_other"), "unit_b": F.greatest("block", "_other")})
-        .drop("_n", "_other")
+        .drop("blocks", "_other")
     )
 
 
 def split_copies(vectors: DataFrame, key: str, vector: str, keep: int) -> tuple[DataFrame, DataFrame | None]:
-    """Vectors without the copies beyond the ``keep`` least keys of each vector, and those copies as (key, first).
+    """Vectors without the copies beyond the ``keep`` least keys of each vector, and those copies as (key, first, copies).
 
     Work between rows of one list grows with the square of their number; what copies add to it is known without comparing
     them. Vectors are told apart by two 64-bit hashes. ``vectors`` should be kept rows, as it is read more than once; without
     crowded vectors it comes back as it is, with None.
     """
     narrow = vectors.select(key, F.xxhash64(F.lit(0), vector).alias("h1"), F.xxhash64(F.lit(1), vector).alias("h2"))
-    crowded = cut(narrow.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where(F.col("n") > keep))
-    if crowded.isEmpty():
+    many = cut(narrow.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first")).where(F.col("copies") > keep))
+    if many.isEmpty():
         return vectors, None
-    copies = narrow.join(crowded, ["h1", "h2"])
-    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(key))
+    copies = salted_join(narrow, many, ["h1", "h2"], heaviest(many, ["h1", "h2"], "copies"), F.col(key))
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(key))  # of which only the first leave a partition
     front = copies.withColumn("place", place).where(F.col("place") <= keep).select(key)
-    extra = cut(copies.join(front, key, "left_anti").select(key, "first"))
+    extra = cut(copies.join(front, key, "left_anti").select(key, "first", "copies"))
     return vectors.join(extra.select(key), key, "left_anti"), extra
 
 
+def as_first(extra: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``found`` (key, …) of the first copies, for each of their further copies ``extra``."""
+    most = extra.groupBy("first").agg(F.first("copies").alias("copies"))
+    return salted_join(extra, found.withColumnRenamed(key, "first"), ["first"], heaviest(most, ["first"], "copies"), F.col(key)).drop("first", "copies")
+
+
 def in_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

@@ -8,7 +8,7 @@ from gleanframe.llm.neighbours import IndexSettings, exact_nearest, nearest_vect
 from gleanframe.llm.subset import choose_varied, pivoted_rows
 from gleanframe.llm.vectors import CentroidGraph, balanced_centres, current_vectors, separated
 
-SMALL = IndexSettings(list_rows=40, sample_rows=8, block_rows=50, ratio=1.4)
+SMALL = IndexSettings(list_rows=40, group_lists=2, sample_rows=8, unit_rows=60, block_rows=50, ratio=1.4, overlap=1.4)
 
 
 def album(seed=0, d=16):
@@ -89,7 +89,7 @@ def brute_clusters(keys, c, limit, least):
     return {(keys[i], keys[min(n)]) for i, n in enumerate(near) if len(n) >= least and all(near[j] == n for j in n)}
 
 
-@pytest.mark.parametrize("settings", [ClusterSettings(), ClusterSettings(fan=3, most_leaves=20, cell_rows=30, rounds=4, index=SMALL)])
+@pytest.mark.parametrize("settings", [ClusterSettings(), ClusterSettings(fan=3, most_leaves=20, cell_rows=30, spread=2, index=SMALL)])
 def test_clusters_equal_brute_force(photos, settings):
     df, keys, c = photos
     true = brute_clusters(keys, c, 0.85, 5)
