@@ -2,8 +2,9 @@
 
 Each partition grows a cluster-feature tree (count, sum and sum of squares of a leaf's vectors) that absorbs a vector where its
 mean cosine with a leaf's members reaches the limit; sums of unit vectors give mean cosines between leaves exactly. Leaf
-summaries of all partitions are reduced together in rounds, cell by cell of an index, by Ward's criterion among those whose mean
-cosine reaches the limit; each round has other cells, and there are rounds until one finds next to nothing to merge. A set whose members all reach the limit with each other and with no one else is never split or mixed
+summaries of all partitions are reduced together by region, since a tree of partitions would end in one task with all leaves: each
+goes to its lists of an index, boundary leaves to several, and is merged there by Ward's criterion with those whose mean
+cosine reaches the limit. What several lists have merged with a common leaf is one summary, by connected components. A set whose members all reach the limit with each other and with no one else is never split or mixed
 by either rule, so it arrives as one summary. One pass then assigns every vector to the summary with the greatest mean cosine.
 """
 
@@ -15,11 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.llm.neighbours import Index, IndexSettings, build_index, in_lists, post
-from gleanframe.llm.vectors import as_first, blocked, crowded, float_lists, in_batches, matrix, split_copies, with_blocks
+from gleanframe.llm.vectors import as_first, blocked, crowded, float_lists, lists_of, matrix, split_copies, with_blocks
+from gleanframe.operators.components import connected_components
 from gleanframe.operators.skew import heaviest, salted_join
 from gleanframe.session import cut
 
@@ -27,14 +31,14 @@ from gleanframe.session import cut
 @dataclass(frozen=True)
 class ClusterSettings:
     """``fan``: entries of a tree node. ``most_leaves``: leaves a partition's tree holds before it hands them on and starts
-    anew. ``cell_rows``: summaries merged at once. ``few``: a round that takes away no more than this share of the summaries is the last. ``spread``:
-    lists that a cluster is sent to at first; it then goes to every other list of a member. ``index`` lays out the lists in which vectors are
-    assigned and compared."""
+    anew. ``leaf_ratio`` and ``leaf_width``: a leaf goes to the lists not further than so many times its nearest, and to no more.
+    ``spread``: lists that a cluster is sent to at first; it then goes to every other list of a member. ``index`` lays out the
+    lists in which leaves are merged and vectors assigned and compared."""
 
     fan: int = 24
     most_leaves: int = 20000
-    cell_rows: int = 4096
-    few: float = 0.0005
+    leaf_ratio: float = 1.03
+    leaf_width: int = 6
     spread: int = 16
     index: IndexSettings = IndexSettings()
 
@@ -232,35 +236,12 @@ def _raw(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _nearest_only(cosines: np.ndarray) -> np.ndarray:
-    return (np.arange(cosines.shape[1]) == 0)[None, :] & (cosines > -1.5)
-
-
-def _merged_features(features: DataFrame, cells: Index, limit: float, settings: ClusterSettings, seed: int) -> DataFrame:
-    """Summaries after one round of Ward agglomeration in each cell. A crowded cell is merged in slices along a direction of
-    this round, in which summaries that are close mostly share a slice."""
-
-    def along(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = matrix(batch.column(2))
-        direction = np.random.default_rng(seed).standard_normal(x.shape[1])
-        even = 1 / (1 + np.exp(-1.7 * (x @ direction)))  # about even between 0 and 1
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(even)], [*batch.schema.names, "along"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("id")
-        mean, n = _raw(table["mean"]), table["n"].to_numpy()
-        owner = ward(mean, n, limit)
-        who, group = np.unique(owner, return_inverse=True)
-        total = np.bincount(group, n)
-        sums = np.zeros((len(who), mean.shape[1]))
-        np.add.at(sums, group, mean * n[:, None])
-        return pa.table({"id": pa.array(table["id"].to_numpy()[who]), "n": pa.array(total.astype(np.int64)), "mean": float_lists(sums / total[:, None])})
-
-    located = in_lists(features, "id", "mean", cells, settings.index, _nearest_only, 1).drop("home")
-    located = cut(located.mapInArrow(in_batches(along), _FEATURES + ", list bigint, along double"))
-    sliced = with_blocks(located, "list", crowded(located, "list", settings.cell_rows), F.col("id"))
-    part = F.least(F.floor(F.col("along") * F.col("blocks")).cast("int"), F.col("blocks") - 1)
-    return sliced.withColumn("part", part).drop("blocks", "along").groupBy("list", "part").applyInArrow(merge, _FEATURES)
+def _ward_links(table: pa.Table, limit: float) -> pa.Table:
+    """(u, v) of the summaries of a unit that Ward agglomeration merges."""
+    table = table.combine_chunks().sort_by("id")
+    owner, ids = ward(_raw(table["mean"]), table["n"].to_numpy(), limit), table["id"].to_numpy()
+    gone = np.flatnonzero(owner != np.arange(len(ids)))
+    return pa.table({"u": pa.array(ids[owner[gone]]), "v": pa.array(ids[gone])})
 
 
 def _reaches(x: np.ndarray, single: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
@@ -336,17 +317,16 @@ def _disagreeing(members: DataFrame, key: str, vector: str, limit: float, most:
     return units.groupBy("cluster", "unit_a", "unit_b").applyInArrow(run, "cluster bigint").distinct()
 
 
-def merged_leaves(vectors: DataFrame, postings: DataFrame, key: str, vector: str, rows: int, index: Index, limit: float, settings: ClusterSettings) -> DataFrame:
-    """(id, n, mean): the leaves of all partitions' trees, reduced until a round takes next to none of them away."""
+def merged_leaves(postings: DataFrame, vector: str, index: Index, limit: float, hot: DataFrame, settings: ClusterSettings) -> DataFrame:
+    """(id, n, mean): the leaves of all partitions' trees, those that lists have merged as one. The leaves of a crowded list are
+    merged in pairs of its blocks, so that every two meet."""
     features = cut(_leaf_features(postings.where("home"), vector, limit, settings))
-    before, r = features.count(), 0
-    while True:
-        cells = index if r == 0 else build_index(vectors, key, vector, rows, settings.index, seed=2 * r)
-        features = cut(_merged_features(features, cells, limit, settings, r))
-        now = features.count()
-        if before - now <= settings.few * before:
-            return features
-        before, r = now, r + 1
+    near = lambda cosines: lists_of(cosines, settings.leaf_ratio)
+    placed = in_lists(features, "id", "mean", index, settings.index, near, settings.leaf_width).drop("home")
+    links = blocked(placed, "id", "list", hot).groupBy("list", "unit_a", "unit_b").applyInArrow(lambda t: _ward_links(t, limit), "u bigint, v bigint")
+    labels = connected_components(links)
+    one = features.join(labels, features["id"] == labels["v"], "left").select(F.coalesce("label", "id").alias("id"), "n", array_to_vector("mean").alias("mean"))
+    return one.groupBy("id").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.mean(F.col("mean"), F.col("n").cast("double")), "float32").alias("mean"))
 
 
 def _told(postings: DataFrame, sent: DataFrame, key: str, vector: str, limit: float, hot: DataFrame) -> DataFrame:
@@ -373,14 +353,13 @@ def cluster_vectors(
     """
     kind = dict(vectors.dtypes)[key]
     vectors, extra = split_copies(cut(vectors.select(key, vector)), key, vector, max(least, 8))
-    rows = vectors.count()
-    index = build_index(vectors, key, vector, rows, settings.index)
+    index = build_index(vectors, key, vector, vectors.count(), settings.index)
     if index is None:
         return vectors.sparkSession.createDataFrame([], f"`{key}` {kind}, cluster_id {kind}, cosine double")
     postings = cut(post(vectors, key, vector, index, settings.index))
-    features = merged_leaves(vectors, postings, key, vector, rows, index, limit, settings)
-    clusters = cut(features.where(F.col("n") >= least).select("id", "mean"))
     hot = crowded(postings, "list", settings.index.block_rows)
+    features = merged_leaves(postings, vector, index, limit, hot, settings)
+    clusters = cut(features.where(F.col("n") >= least).select("id", "mean"))
     near = lambda cosines: cosines > -1.5
     sent = cut(in_lists(clusters, "id", "mean", index, settings.index, near, settings.spread).drop("home"))
     told = _told(postings, sent, key, vector, limit, hot)

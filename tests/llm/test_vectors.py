@@ -89,7 +89,7 @@ def brute_clusters(keys, c, limit, least):
     return {(keys[i], keys[min(n)]) for i, n in enumerate(near) if len(n) >= least and all(near[j] == n for j in n)}
 
 
-@pytest.mark.parametrize("settings", [ClusterSettings(), ClusterSettings(fan=3, most_leaves=20, cell_rows=30, spread=2, index=SMALL)])
+@pytest.mark.parametrize("settings", [ClusterSettings(), ClusterSettings(fan=3, most_leaves=20, leaf_ratio=1.4, spread=2, index=SMALL)])
 def test_clusters_equal_brute_force(photos, settings):
     df, keys, c = photos
     true = brute_clusters(keys, c, 0.85, 5)
