@@ -1,10 +1,13 @@
 """Filling fixed-capacity containers with items of varying length.
 
-Harmonic packing: an item of size s is of class floor(capacity / s), and a container opened for class j takes exactly j items
-of that class. How many items of each size there are (a table bounded by the capacity) decides all containers: sizes are
-taken from the largest down, each container gets its class's fixed count of items, and the room that the class leaves is
-topped up with the largest smaller sizes that fit. The plan is a short list of patterns, each used for a run of containers, so
-which container an item goes to follows from its number among the items of its size: workers fill independently.
+Harmonic packing: the sizes above capacity / (j + 1) and up to capacity / j are class j, and a container opened for class j takes
+exactly j items of that class, which always fit; only the last one of a class may have fewer. Harmonic packing alone leaves the
+rest of such a container empty. A second step, the top-up, fills it with the largest sizes of later classes that fit; what the
+top-up has used is no longer there when its own class is opened.
+
+Both steps work on the table of sizes (at most the capacity many entries), not on items. The plan is a short list of patterns,
+each used for a run of containers, so which container an item goes to follows from its number among the items of its size:
+workers fill independently.
 """
 
 from __future__ import annotations
@@ -33,55 +36,85 @@ def _slot(window: int, size: int) -> int:
 
 @dataclass
 class Plan:
-    """For each size, intervals of item numbers: (size, first number, first container, items of the size in a container)."""
+    """``rows``: for each size, intervals of item numbers: (size, first number, first container, items of the size in a container).
+    ``opened``: runs of containers of one class: (first container, containers, class, items of the class in each)."""
 
     capacity: int
     containers: int = 0
     rows: list[tuple[int, int, int, int]] = field(default_factory=list)
+    opened: list[tuple[int, int, int, int]] = field(default_factory=list)
 
 
-def plan_containers(counts: dict[int, int], capacity: int) -> Plan:
-    """The patterns for ``counts`` items of each size, 1 to ``capacity``. Each step uses up one size or comes within one
-    container of it, so the steps grow with the number of sizes and not with that of items."""
-    plan = Plan(capacity)
-    sizes = sorted(counts, reverse=True)
-    left = [counts[s] for s in sizes]
-    used = dict.fromkeys(sizes, 0)
-    # following[i]: the next index from i on of which items are left, with shortcuts
-    following = list(range(len(sizes) + 1))
-
-    def next_left(i: int) -> int:
+class _Stock:
+    """The items that are left of each size, largest first."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.sizes = sorted(counts, reverse=True)
+        self.left = [counts[s] for s in self.sizes]
+        self.used = [0] * len(self.sizes)
+        self.ascending = np.asarray(self.sizes[::-1])
+        # following[i]: the next place from i on of which items are left, with shortcuts
+        self.following = list(range(len(self.sizes) + 1))
+
+    def next(self, i: int) -> int:
         root = i
-        while following[root] != root:
-            root = following[root]
-        while following[i] != root:
-            following[i], i = root, following[i]
+        while self.following[root] != root:
+            root = self.following[root]
+        while self.following[i] != root:
+            self.following[i], i = root, self.following[i]
         return root
 
-    ascending = np.asarray(sizes[::-1])
-    i = next_left(0)
-    while i < len(sizes):
-        room, pattern, at = capacity, [], i
-        while at < len(sizes):
-            take = min(left[at], room // sizes[at])  # of the first size: its class's fixed count, if so many are left
-            if take:
-                pattern.append((at, take))
-                room -= take * sizes[at]
-            at += 1
-            if room <= 0:
-                break
-            if at < len(sizes) and sizes[at] > room:
-                at = len(sizes) - int(np.searchsorted(ascending, room, "right"))
-            at = next_left(at)
-        times = min(left[k] // n for k, n in pattern)
+    def fitting(self, i: int, room: int) -> int:
+        """The first place from i on of a size that fits."""
+        if i < len(self.sizes) and self.sizes[i] > room:
+            i = max(i, len(self.sizes) - int(np.searchsorted(self.ascending, room, "right")))
+        return self.next(i)
+
+    def take(self, i: int, n: int) -> None:
+        self.used[i] += n
+        self.left[i] -= n
+        if not self.left[i]:
+            self.following[i] = i + 1
+
+
+def class_items(stock: _Stock, first: int, capacity: int) -> list[tuple[int, int]]:
+    """(place, items): the fixed count of items of the class of the size at ``first``, from there down; fewer if there aren't more."""
+    j = need = capacity // stock.sizes[first]
+    pattern, at = [], first
+    while need and at < len(stock.sizes) and capacity // stock.sizes[at] == j:
+        n = min(stock.left[at], need)
+        pattern.append((at, n))
+        need -= n
+        at = stock.next(at + 1)
+    return pattern
+
+
+def top_up(stock: _Stock, after: int, room: int) -> list[tuple[int, int]]:
+    """(place, items) of the largest sizes after the place ``after`` that fit into the room that a class leaves."""
+    pattern, at = [], stock.fitting(stock.next(after + 1), room)
+    while at < len(stock.sizes) and room:
+        n = min(stock.left[at], room // stock.sizes[at])
+        pattern.append((at, n))
+        room -= n * stock.sizes[at]
+        at = stock.fitting(stock.next(at + 1), room)
+    return pattern
+
+
+def plan_containers(counts: dict[int, int], capacity: int) -> Plan:
+    """The patterns for ``counts`` items of each size, 1 to ``capacity``: class after class, each opened container with its
+    class's count and a top-up. Each step uses up one size or comes within one container of it, so the steps grow with the
+    number of sizes and not with that of items."""
+    plan, stock = Plan(capacity), _Stock(counts)
+    while (first := stock.next(0)) < len(stock.sizes):
+        own = class_items(stock, first, capacity)
+        room = capacity - sum(stock.sizes[k] * n for k, n in own)
+        pattern = own + top_up(stock, own[-1][0], room)
+        times = min(stock.left[k] // n for k, n in pattern)
+        plan.opened.append((plan.containers, times, capacity // stock.sizes[first], sum(n for _, n in own)))
         for k, n in pattern:
-            plan.rows.append((sizes[k], used[sizes[k]], plan.containers, n))
-            used[sizes[k]] += n * times
-            left[k] -= n * times
-            if not left[k]:
-                following[k] = k + 1
+            plan.rows.append((stock.sizes[k], stock.used[k], plan.containers, n))
+            stock.take(k, n * times)
         plan.containers += times
-        i = next_left(i)
     return plan
 
 
@@ -132,10 +165,10 @@ def pack(items: DataFrame, windows: dict[int, int], key: str, size: str) -> Data
     salted = split.withColumn("salt", F.lit(0))
     starts: dict[int, np.ndarray] = {}
     if hot:
-        slot = F.col("window_id").cast("bigint") * _SIZES + F.col("n_units")
-        parts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), slot), F.lit(1))
-        salted = split.withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), parts).cast("int"))
-        for w, s, salt, c in salted.where(parts > 1).groupBy("window_id", "n_units", "salt").count().collect():
+        parts = spark.createDataFrame([(slot // _SIZES, slot % _SIZES, n) for slot, n in hot.items()], "window_id int, n_units bigint, parts int")
+        salt = F.pmod(F.xxhash64(key, "piece_no"), F.coalesce("parts", F.lit(1))).cast("int")
+        salted = split.join(F.broadcast(parts), ["window_id", "n_units"], "left").withColumn("salt", salt)
+        for w, s, salt, c in salted.where("parts > 1").groupBy("window_id", "n_units", "salt").count().collect():
             starts.setdefault(_slot(w, s), np.zeros(hot[_slot(w, s)] + 1, np.int64))[salt + 1] = c
         starts = {k: np.cumsum(v) for k, v in starts.items()}
     order = Window.partitionBy("window_id", "n_units", "salt").orderBy(key, "piece_no")

@@ -71,10 +71,20 @@ def test_plan_places_every_item_within_capacity(counts, capacity):
     assert placed == counts and all(0 < f <= capacity for f in fill)
     total = sum(s * n for s, n in counts.items())
     assert plan.containers <= max(1, 2 * -(-total // capacity)) or not total
-    # no class leaves its fixed count unused: all but one container of a class hold capacity // size items of it or more
-    for size in counts:
-        if size * 2 > capacity:
-            assert plan.containers >= counts[size]
+    # a container opened for class j holds j items of it; only the last one of a class may hold fewer
+    of_class: list[dict] = [{} for _ in range(plan.containers)]
+    for size, n in counts.items():
+        for number in range(n):
+            start, first, per = next(r for r in reversed(by_size[size]) if r[0] <= number)
+            at = of_class[first + (number - start) // per]
+            at[capacity // size] = at.get(capacity // size, 0) + 1
+    last = {}
+    for first, times, j, own in plan.opened:
+        for c in range(first, first + times):
+            assert of_class[c][j] == own <= j and min(of_class[c]) == j
+            assert last.get(j, j) == j  # none of the class was opened after one with fewer
+            last[j] = own
+    assert sum(times for _, times, _, _ in plan.opened) == plan.containers
 
 
 @pytest.mark.parametrize("at_once", [1 << 20, 7])
