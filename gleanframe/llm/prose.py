@@ -23,7 +23,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """The five statistics of every document, its distance from prose, and the statistic that adds most to it."""
+    """The five statistics of every document, its distance from prose, what each statistic adds to the squared distance, and
+    the one that adds most."""
     scored = _scored(spark, folder)
     named = {n: F.round(F.col("stats")[STATISTICS.index(n)], 6) for n in STATISTICS[1:5]}
     names = F.array(*map(F.lit, STATISTICS))
@@ -33,6 +34,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
         *(c.alias(n) for n, c in named.items()),
         "language",
         F.round("distance", 6).alias("distance"),
+        F.map_from_arrays(names, F.transform("contributions", lambda c: F.round(c, 6))).alias("contributions"),
         F.element_at(names, F.array_position("contributions", F.array_max("contributions")).cast("int")).alias("most_unusual"),
     )
 

@@ -2,12 +2,13 @@
 
 The statistics of all documents give, for each language, a robust mean and covariance of prose: from documents that are mostly
 sentences, concentration steps keep those nearest to the current centre. A document's Mahalanobis distance divides into one
-contribution for each statistic. Distance, contributions and statistics are what a forest, fitted on a bounded sample of hand
-labels, decides on.
+contribution for each statistic. A document within the distance that nearly all normal prose keeps is prose. What makes the others
+outlying tells what they are: a forest, fitted on a bounded sample of hand labels, names their kind from the distance and its contributions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.text_stats import STATISTICS, language_of, statistics, words_of
+from gleanframe.llm.text_stats import STATISTICS, describe
 from gleanframe.llm.vectors import in_batches
 from gleanframe.session import cut
 
@@ -29,17 +30,25 @@ _SENTENCES, _REPEATED, _COMMON = (STATISTICS.index(n) for n in ("sentence_share"
 class QualitySettings:
     """``most_labels`` bounds the labelled documents that the forest is fitted on, taken by a hash of their key.
     ``keep``: the share of a language's prose that a concentration step keeps. ``few``: documents below which a language
-    takes the centre of all languages. ``most_words`` bounds the list of common words, which is sent to the workers."""
+    takes the centre of all languages. ``normal``: how many deviations from the mean of a normal distribution leave as much beyond
+    them as ``prose_limit`` does. ``most_words`` bounds the list of common words, which is sent to the workers."""
 
     most_labels: int = 20000
     keep: float = 0.85
     steps: int = 3
     few: int = 200
+    normal: float = 3.0902  # one in a thousand
     most_words: int = 100000
     trees: int = 80
     depth: int = 10
 
 
+def prose_limit(settings: QualitySettings, statistics: int = _P) -> float:
+    """The distance that all but a small share of normal prose keeps: the root of a chi-square quantile (Wilson and Hilferty)."""
+    part = 2 / (9 * statistics)
+    return math.sqrt(statistics * (1 - part + settings.normal * math.sqrt(part)) ** 3)
+
+
 def document_statistics(documents: DataFrame, key: str, text: str, language: str, common_words: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
     """(key, language, stats): the values of ``STATISTICS`` over each whole text, a row a document.
 
@@ -58,11 +67,9 @@ def document_statistics(documents: DataFrame, key: str, text: str, language: str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         languages, values = [], []
         for t, declared in zip(batch.column(1), batch.column(2).to_pylist()):
-            t = t.as_py() or ""
-            words = words_of(t)
-            lang = language_of(t, words, declared, frozen) if t.strip() else None
+            lang, found = describe(t.as_py() or "", declared, frozen)
             languages.append(lang)
-            values.extend(statistics(t, lang or "", words, frozen.get(lang, frozenset())))
+            values.extend(found)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * _P, pa.int32()), pa.array(values, pa.float64()))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.string()), lists], [key, "language", "stats"])
 
@@ -103,18 +110,25 @@ class ProseModel:
         return out
 
 
+#: Sums that are added up at once.
+_AT_ONCE = 64
+
+
 def _sums(stats: DataFrame, chosen, few: int) -> ProseModel:
-    """Counts, sums and products of the chosen rows of each language, added up in partitions and then by language."""
-    schema = "language string, n double, first array<double>, second array<double>"
+    """Counts, sums and products of the chosen rows of each language, added up in partitions and then in a tree."""
+    schema = "part int, language string, n double, first array<double>, second array<double>"
 
     def add(rows: dict, lang: str, n: float, first: np.ndarray, second: np.ndarray) -> None:
         old = rows.get(lang)
         rows[lang] = (n, first, second) if old is None else (old[0] + n, old[1] + first, old[2] + second)
 
     def table(rows: dict) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(rows), pa.string()), pa.array([v[0] for v in rows.values()], pa.float64()), pa.array([v[1].tolist() for v in rows.values()], pa.list_(pa.float64())), pa.array([v[2].ravel().tolist() for v in rows.values()], pa.list_(pa.float64()))],
-            ["language", "n", "first", "second"],
+            [pa.array([part] * len(rows), pa.int32()), pa.array(list(rows), pa.string()), pa.array([v[0] for v in rows.values()], pa.float64()), pa.array([v[1].tolist() for v in rows.values()], pa.list_(pa.float64())), pa.array([v[2].ravel().tolist() for v in rows.values()], pa.list_(pa.float64()))],
+            ["part", "language", "n", "first", "second"],
         )
 
     def partition(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +145,19 @@ def _sums(stats: DataFrame, chosen, few: int) -> ProseModel:
     def together(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict = {}
         for batch in stream:
-            for lang, n, first, second in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for lang, n, first, second in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 add(rows, lang, n, np.asarray(first), np.asarray(second).reshape(_P, _P))
         yield table(rows)
 
     parts = stats.where("language is not null").select("language", "stats").mapInArrow(partition, schema)
-    rows = parts.repartition(8, "language").mapInArrow(together, schema).collect()  # a row a language
-    sums = {r["language"]: (r["n"], np.asarray(r["first"]), np.asarray(r["second"]).reshape(_P, _P)) for r in rows}
-    return ProseModel(sums, few)
+    number = stats.rdd.getNumPartitions()
+    while number > _AT_ONCE:  # a tree of sums
+        number = -(-number // _AT_ONCE)
+        parts = parts.repartition(number, "part").mapInArrow(together, schema)
+    totals: dict = {}
+    for r in parts.toLocalIterator():  # of the last few sums, a row each for a language
+        add(totals, r["language"], r["n"], np.asarray(r["first"]), np.asarray(r["second"]).reshape(_P, _P))
+    return ProseModel(totals, few)
 
 
 def prose_model(stats: DataFrame, settings: QualitySettings = QualitySettings()) -> ProseModel:
@@ -191,22 +210,29 @@ def _labelled(labels: DataFrame, key: str, kind: str) -> DataFrame:
 
 
 def classify(scored: DataFrame, labels: DataFrame, key: str, kind: str, settings: QualitySettings = QualitySettings()) -> DataFrame:
-    """(key, text_kind) of each document with a text, by a forest over distance, contributions and statistics.
+    """(key, text_kind) of each document with a text. One within ``prose_limit`` of its language's prose is prose; a forest over
+    the distance and its contributions names the kind of the others, which may be prose too, but unusual.
 
-    Labels in any case, with blanks around them; unknown ones are ignored, repeated ones vote. With labels of fewer than two
-    kinds the largest share of lines decides: sentences, items, fields and pairs, noise.
+    Labels in any case, with blanks around them; unknown ones are ignored, repeated ones vote. Where outlying documents have
+    labels of fewer than two kinds, the largest share of lines names theirs: sentences, items, fields and pairs, noise.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
+    limit = prose_limit(settings)
+    known = scored.where("language is not null")
+    prose = known.where(F.col("distance") <= limit).select(key, F.lit(KINDS[0]).alias("text_kind"))
     squashed = F.transform("contributions", lambda c: F.signum(c) * F.log1p(F.abs(c)))
-    ready = scored.where("language is not null").select(key, array_to_vector(F.concat("stats", squashed, F.array(F.log1p("distance")))).alias("features"), "stats")
+    outlying = known.where(~(F.col("distance") <= limit))
+    ready = outlying.select(key, array_to_vector(F.concat(squashed, F.array(F.log1p("distance")))).alias("features"))
     sample = _labelled(labels, key, kind).orderBy(F.xxhash64(key), key).limit(settings.most_labels)
     train = cut(ready.join(sample, key).select("features", F.col("label").cast("double").alias("label")))
     if train.select("label").distinct().count() < 2:
         share = lambda *names: sum(F.col("stats")[STATISTICS.index(n)] for n in names)
         shares = F.array(share("sentence_share"), share("item_share"), share("field_share", "pair_share"), share("noise_share"))
-        return ready.select(key, F.element_at(F.array(*map(F.lit, KINDS)), F.array_position(shares, F.array_max(shares)).cast("int")).alias("text_kind"))
-    forest = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.depth, maxBins=64, featureSubsetStrategy="onethird", seed=7, minInstancesPerNode=2).fit(train)
-    chosen = forest.setProbabilityCol("").setRawPredictionCol("").transform(ready)
-    return chosen.select(key, F.element_at(F.array(*map(F.lit, KINDS)), F.col("prediction").cast("int") + 1).alias("text_kind"))
+        named = outlying.select(key, F.element_at(F.array(*map(F.lit, KINDS)), F.array_position(shares, F.array_max(shares)).cast("int")).alias("text_kind"))
+    else:
+        forest = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.depth, maxBins=64, featureSubsetStrategy="onethird", seed=7, minInstancesPerNode=2).fit(train)
+        chosen = forest.setProbabilityCol("").setRawPredictionCol("").transform(ready)
+        named = chosen.select(key, F.element_at(F.array(*map(F.lit, KINDS)), F.col("prediction").cast("int") + 1).alias("text_kind"))
+    return prose.unionByName(named)

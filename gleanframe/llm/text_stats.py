@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 #: The statistics in order. The first five are those a reader asks for; the others describe lines, fields and repetition.
 STATISTICS = (
@@ -26,16 +28,20 @@ _FILE = re.compile(r"^\S+\.(?:jpe?g|png|tiff?|webp|bmp|heic|raw|dng|xmp|gif)$",
 _PAIR = re.compile(r"^\W{0,3}[^\W\d][\w ./-]{0,28}?\s*(?:[:=：]|\t)\s*\S")
 _GAP = re.compile(r"\S(?: {2,}|\t)\s*\S")
 _RULE = re.compile(r"^[\s|:+─━┼│=-]{4,}$")
-_HEX = re.compile(r"^(?:0x)?(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{6,}$|^[0-9a-f]{2}$")
-_MIXED = re.compile(r"(?=\w*\d)(?=\w*[^\W\d_])\w{3,}")
+_HEX = re.compile(r"(?<!\w)(?:(?:0x)?(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{6,}|[0-9a-f]{2})(?!\w)")
+_MIXED = re.compile(r"(?<!\w)(?=\w*\d)(?=\w*[^\W\d_])\w{3,}")
 _GARBLED = re.compile(r"[ÂÃÄÅâãäåæçèéïðÐÑ][\u0080-¿ŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]")
+_LEADS = frozenset("ÂÃÄÅâãäåæçèéïðÐÑ")
 _END = frozenset(".!?。！？…:;”\"»）)")
 
 
 def words_of(text: str) -> list[str]:
     """Words, numbers, and wide characters one by one."""
+    words = _WORD.findall(text)
+    if not _WIDE.search(text):
+        return words
     found = []
-    for w in _WORD.findall(text):
+    for w in words:
         if _WIDE.search(w):
             found.extend(w)
         else:
@@ -43,16 +49,26 @@ def words_of(text: str) -> list[str]:
     return found
 
 
-def language_of(text: str, words: list[str], declared: str | None, common: dict[str, frozenset[str]]) -> str:
+def lowered(words: list[str]) -> list[str]:
+    """The words in lower case, all at once."""
+    return "\0".join(words).lower().split("\0") if words else []
+
+
+@lru_cache(maxsize=64)
+def _is_wide(words: frozenset[str]) -> bool:
+    return any(_WIDE.search(w) for w in words)
+
+
+def language_of(text: str, words: list[str], declared: str | None, common: dict[str, frozenset[str]], frequency: Counter | None = None) -> str:
     """The language of ``common`` that fits best: by script, else by common words, else as declared, else the first."""
     wide = len(_WIDE.findall(text))
-    if wide * 3 > len(words):
+    if wide and wide * 3 > len(words):
         kana = len(_KANA.findall(text))
         pick = "ja" if kana * 10 > wide else "zh-CN"
         if pick in common:
             return pick
-    lower = Counter(w.lower() for w in words)
-    hits = {k: sum(n for w, n in lower.items() if w in c) for k, c in common.items() if not any(_WIDE.search(x) for x in c)}
+    frequency = Counter(lowered(words)) if frequency is None else frequency
+    hits = {k: sum(frequency[w] for w in frequency.keys() & c) for k, c in common.items() if not _is_wide(c)}
     named = (declared or "").strip().lower()
     known = next((k for k in common if named and k.lower()[:2] == named[:2]), None)
     if hits:
@@ -62,70 +78,97 @@ def language_of(text: str, words: list[str], declared: str | None, common: dict[
     return known or (min(common) if common else "und")
 
 
-def _line_kind(line: str, common: frozenset[str]) -> tuple[str, int]:
-    """What a line looks like, and its number of fields."""
-    text = line.strip()
+def _line_kind(text: str, hits: int, count: int, listed: bool) -> tuple[str, int]:
+    """What a line without blanks around it looks like, and its number of fields. It has ``count`` words, ``hits`` of them
+    common; ``listed``: it begins as an item does."""
     bars = text.count("|") + text.count("│") + text.count("\t")
-    gaps = len(_GAP.findall(text))
+    gaps = len(_GAP.findall(text)) if "  " in text or "\t" in text else 0
     fields = max(bars, gaps) + 1
     if _RULE.match(text):
         return "field", 0
-    words = words_of(text)
-    hits = sum(w.lower() in common for w in words)
     commas = max(text.count(","), text.count(";"))
     if bars >= 2 or gaps >= 2:
         return "field", fields
-    if commas >= 2 and hits * 6 < len(words) and len(text) / (commas + 1) < 26 and ", " not in text and "; " not in text:
+    if commas >= 2 and hits * 6 < count and len(text) / (commas + 1) < 26 and ", " not in text and "; " not in text:
         return "field", commas + 1
-    if _BULLET.match(text) or _FILE.match(text):
+    if listed:
         return "item", 1
-    if _PAIR.match(text) and hits * 5 < len(words) + 2 and len(words) < 12:
+    if hits * 5 < count + 2 and count < 12 and _PAIR.match(text):
         return "pair", 2
-    if len(words) >= 4 and hits * 7 >= len(words):
+    if count >= 4 and hits * 7 >= count:
         return "sentence", 1
-    if 0 < len(words) <= 6 and not any(c.isdigit() for c in text):
+    if 0 < count <= 6 and not any(c.isdigit() for c in text):
         return "item", 1
     if gaps == 1 or bars == 1:
         return "pair", 2
     return "noise", 1
 
 
+_DIGIT, _UPPER, _LETTER, _SPACE, _SYMBOL, _BRACKET, _CONTROL = (1 << i for i in range(7))
+
+
+@lru_cache(maxsize=1 << 16)
+def _character(c: str) -> int:
+    """The kinds of a character."""
+    if c.isdigit():
+        return _DIGIT
+    if c.isalpha():
+        return _LETTER | (_UPPER if c.isupper() else 0)
+    if c.isspace():
+        return _SPACE
+    return _SYMBOL | (_BRACKET if c in "{}[]<>\"=" else 0) | (_CONTROL if not c.isprintable() or c == "�" else 0)
+
+
+def describe(text: str, declared: str | None, common: dict[str, frozenset[str]]) -> tuple[str | None, list[float]]:
+    """The language of a text and the values of ``STATISTICS``; a blank text has no language and zeros. Its words are found once."""
+    if not text.strip():
+        return None, [0.0] * len(STATISTICS)
+    lines = [x for x in text.splitlines() if x.strip()]
+    by_line = [words_of(x) for x in lines]
+    words = list(chain.from_iterable(by_line))  # no word goes over the end of a line
+    lower = lowered(words)
+    frequency = Counter(lower)
+    language = language_of(text, words, declared, common, frequency)
+    return language, _values(text, lines, by_line, words, lower, frequency, common.get(language, frozenset()))
+
+
 def statistics(text: str, language: str, words: list[str], common: frozenset[str]) -> list[float]:
     """The values of ``STATISTICS``; every one is finite, whatever the text. A blank text has zeros."""
-    n = len(text)
     if not text.strip():
         return [0.0] * len(STATISTICS)
     lines = [x for x in text.splitlines() if x.strip()]
+    lower = lowered(words)
+    return _values(text, lines, [words_of(x) for x in lines], words, lower, Counter(lower), common)
+
+
+def _values(text: str, lines: list[str], by_line: list[list[str]], words: list[str], lower: list[str], frequency: Counter, common: frozenset[str]) -> list[float]:
+    n = len(text)
     solid = sum(len(x.strip()) for x in lines) or 1
     count = len(words) or 1
-    lower = [w.lower() for w in words]
-    hit = [w in common for w in lower]
-    frequency = Counter(lower)
+    hit = [*map(common.__contains__, lower)]
     chars = Counter(text)
     entropy = -sum(c / n * math.log2(c / n) for c in chars.values())
-    digits = upper = space = control = bracket = symbol = letters = 0
+    of = dict.fromkeys((_DIGIT, _UPPER, _LETTER, _SPACE, _SYMBOL, _BRACKET, _CONTROL), 0)
     for c, k in chars.items():
-        if c.isdigit():
-            digits += k
-        elif c.isalpha():
-            letters += k
-            upper += k * c.isupper()
-        elif c.isspace():
-            space += k
-        else:
-            symbol += k
-            bracket += k * (c in "{}[]<>\"=")
-            control += k * (not c.isprintable() or c == "�")
+        kinds = _character(c)
+        for kind in of:
+            if kinds & kind:
+                of[kind] += k
+    digits, upper, letters, space, symbol, bracket, control = of.values()
     share = dict.fromkeys(("sentence", "item", "field", "pair", "noise"), 0)
     fields: Counter = Counter()
     bullets = files = 0
-    for line in lines:
-        kind, k = _line_kind(line, common)
-        share[kind] += len(line.strip())
+    at = 0
+    for line, own in zip(lines, by_line):
+        stripped = line.strip()
+        bullet, file = bool(_BULLET.match(line)), bool(_FILE.match(stripped))
+        kind, k = _line_kind(stripped, sum(hit[at : at + len(own)]), len(own), bullet or file)
+        at += len(own)
+        share[kind] += len(stripped)
         if k:
             fields[k] += 1
-        bullets += bool(_BULLET.match(line))
-        files += bool(_FILE.match(line.strip()))
+        bullets += bullet
+        files += file
     even = max((c for k, c in fields.items() if k > 1), default=0) / len(lines)
     lengths = [len(x) for x in lines]
     mean_length = sum(lengths) / len(lines)
@@ -138,7 +181,7 @@ def statistics(text: str, language: str, words: list[str], common: frozenset[str
     separators = sum(chars.get(c, 0) for c in "|│;；、,，·•#\t")
     runs = sum(a and b for a, b in zip(hit, hit[1:]))
     ended = sum(chars.get(c, 0) for c in ".!?。！？")
-    changes = sum(1 for w in words if len(w) > 2 and not w.islower() and not w.isupper() and not w.istitle() and w.isalpha())
+    changes = sum(k for w, k in Counter(words).items() if len(w) > 2 and not w.islower() and not w.isupper() and not w.istitle() and w.isalpha())
     return [
         math.log1p(len(words)),
         sum(map(len, words)) / count,
@@ -149,7 +192,7 @@ def statistics(text: str, language: str, words: list[str], common: frozenset[str
         upper / max(letters, 1),
         space / n,
         control / n,
-        len(_GARBLED.findall(text)) / n,
+        (len(_GARBLED.findall(text)) if not chars.keys().isdisjoint(_LEADS) else 0) / n,
         bracket / n,
         math.log1p(len(lines)),
         math.log1p(mean_length),
@@ -168,13 +211,13 @@ def statistics(text: str, language: str, words: list[str], common: frozenset[str
         len(frequency) / math.sqrt(2 * count),
         max(frequency.values(), default=0) / count,
         math.log(len(zlib.compress(raw, 1)) / len(raw)),
-        sum(bool(_HEX.match(w)) for w in re.findall(r"\w+", text)) / count,
-        len(_MIXED.findall(text)) / count,
+        len(_HEX.findall(text)) / count,
+        (len(_MIXED.findall(text)) if digits else 0) / count,
         entropy,
         sum(len(w) > 15 for w in words) / count,
         runs / count,
         ended / count,
-        len(_GAP.findall(text)) / count,
+        (len(_GAP.findall(text)) if "  " in text or "\t" in text else 0) / count,
         changes / count,
         max((len(x) * k for x, k in segments.items()), default=0) / total,
         math.log1p(len(segments)),
