@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.session import cut
+from gleanframe.operators.skew import AT_ONCE, heaviest, salted_join
+from gleanframe.session import counted
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -13,35 +14,44 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(F.array(F.struct(F.col("u").alias("v"), F.col("v").alias("n")), F.struct(F.col("v").alias("v"), F.col("u").alias("n")))))
 
 
-def _towards_minimum(pairs: DataFrame) -> DataFrame:
-    """(v, n) with the least of v and its n as ``m``. The minimum is taken map-side; a hub's rows join as a skewed key."""
-    low = pairs.groupBy("v").agg(F.least(F.min("n"), F.col("v")).alias("m"))
-    return pairs.join(low, "v")
+def _low(pairs: DataFrame) -> DataFrame:
+    """(v, least, rows) of each v of (v, n): its least n, taken map-side, and its number of rows."""
+    return pairs.groupBy("v").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("rows"))
+
+
+def _with_low(pairs: DataFrame, low: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` (v, n) with their v's ``least``. The rows of a hub are divided; the check for hubs costs nothing where there
+    are fewer rows than one task joins."""
+    if rows <= AT_ONCE:
+        return pairs.join(low.select("v", "least"), "v")
+    return salted_join(pairs, low.select("v", "least"), ["v"], heaviest(low, ["v"], "rows"), F.col("n"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(v, label) for each vertex of ``edges`` (u, v of one orderable type); the label is the component's least vertex.
 
     Loops and repeated edges do no harm, rows with a NULL end are left out, an empty table gives no rows. Logarithmically
-    many rounds in practice; each round is a reliable checkpoint.
+    many rounds in practice; each round is one job and leaves a reliable checkpoint.
     """
+    measures = {"edges": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     e = edges.where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    e, before = counted(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), **measures)
+    while before["edges"]:
+        pairs = both_ways(e)
         large = (
-            _towards_minimum(both_ways(e)).where("n > v and n <> m").select(F.col("m").alias("u"), F.col("n").alias("v")).distinct()
+            _with_low(pairs, _low(pairs), 2 * before["edges"])
+            .select("v", "n", F.least("least", "v").alias("m"))
+            .where("n > v and n <> m")
+            .select(F.col("n").alias("v"), F.col("m").alias("n"))
+            .distinct()
         )
-        down = large.select(F.col("v"), F.col("u").alias("n"))
-        low = down.groupBy("v").agg(F.min("n").alias("m"))
         small = (
-            down.join(low, "v")
-            .select(F.inline(F.array(F.struct(F.col("m").alias("u"), F.col("n").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))))
+            _with_low(large, _low(large), before["edges"])
+            .select(F.inline(F.array(F.struct(F.col("least").alias("u"), F.col("n").alias("v")), F.struct(F.col("least").alias("u"), F.col("v").alias("v")))))
             .where("u <> v")
             .distinct()
         )
-        e = cut(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e, now = counted(small, **measures)
         if now == before:
             break
         before = now

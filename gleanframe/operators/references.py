@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.functions.ids import clean_id, integer_key
+from gleanframe.operators.skew import heaviest, salted_join
+from gleanframe.session import cut
 
 #: Integer keys in one window partition: runs are cut at multiples of it, which bounds what one sort group holds.
 BUCKET = 1 << 16
@@ -79,20 +81,20 @@ def key_runs(parents: DataFrame) -> DataFrame:
 def unmatched_keys(parents: DataFrame, references: DataFrame) -> DataFrame:
     """Keys of ``references`` (target, ref_key, time) with no parent, or with one that may be newer than a reference.
 
-    Returns ``(target, ref_key, missing, newest)``. References are first reduced to one row a key, map-side, so that a key
+    Returns ``(target, ref_key, rows, missing, newest)``, ``rows`` being how many refer to the key. References are first reduced to one row a key, map-side, so that a key
     holding a large share of all references costs no more than any other.
     """
     cell = ["target", "space", "bucket"]
-    keys = _coded(references.groupBy("target", "ref_key").agg(F.min("time").alias("oldest")))
+    keys = _coded(references.groupBy("target", "ref_key").agg(F.min("time").alias("oldest"), F.count(F.lit(1)).alias("rows")))
     runs = key_runs(parents)
-    both = runs.select(*cell, F.col("first").alias("at"), F.lit(0).alias("kind"), F.struct("last", "newest").alias("run"), F.lit(None).cast("string").alias("ref_key"), F.lit(None).cast("timestamp_ntz").alias("oldest")).unionByName(
-        keys.select(*cell, F.col("number").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<last:bigint,newest:timestamp_ntz>").alias("run"), "ref_key", "oldest")
+    both = runs.select(*cell, F.col("first").alias("at"), F.lit(0).alias("kind"), F.struct("last", "newest").alias("run"), F.lit(None).cast("string").alias("ref_key"), F.lit(None).cast("timestamp_ntz").alias("oldest"), F.lit(None).cast("bigint").alias("rows")).unionByName(
+        keys.select(*cell, F.col("number").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<last:bigint,newest:timestamp_ntz>").alias("run"), "ref_key", "oldest", "rows")
     )
     as_of = Window.partitionBy(*cell).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     matched = both.withColumn("preceding", F.last("run", ignorenulls=True).over(as_of)).where("kind = 1")
     missing = F.coalesce(F.col("at") > F.col("preceding.last"), F.lit(True))
     return (
-        matched.select("target", "ref_key", "oldest", missing.alias("missing"), F.col("preceding.newest").alias("newest"))
+        matched.select("target", "ref_key", "rows", "oldest", missing.alias("missing"), F.col("preceding.newest").alias("newest"))
         .where(F.col("missing") | (F.col("newest") > F.col("oldest")))
         .drop("oldest")
     )
@@ -126,12 +128,14 @@ def orphan_references(references: list[Reference], parents: list[DataFrame]) ->
         targets = targets.unionByName(p)
     suspects = unmatched_keys(targets, rows.select("target", "ref_key", "time"))
     # Runs of several keys only know their newest creation; the exact time of a suspect's own parent decides.
-    exact = (
+    exact = cut(
         suspects.join(targets, ["target", "ref_key"], "left")
-        .select("target", "ref_key", "missing", "created_at")
+        .select("target", "ref_key", "rows", "missing", "created_at")
     )
+    # A key that many rows refer to in vain would bring them all into one task.
+    heavy = heaviest(exact, ["target", "ref_key"], "rows")
     return (
-        rows.join(exact, ["target", "ref_key"])
+        salted_join(rows, exact.drop("rows"), ["target", "ref_key"], heavy, F.struct("record_key", "time"))
         .where(F.col("missing") | (F.col("created_at") > F.col("time")))
         .select("table_name", "record_key", "ref_key", month_of(F.col("time")).alias("period_month"))
         .distinct()
