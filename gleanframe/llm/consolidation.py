@@ -2,8 +2,8 @@
 
 Rounds of two reductions shrink the graph of matches: vertices of degree one are stripped, and chains of vertices of
 degree two are ranked by pointer jumping over their directed arcs and replaced by one edge between their ends. What
-remains, where every vertex has three neighbours or more, is solved by star contraction; removed vertices then take the
-labels of those they hung on, last removed first.
+remains, the core, is solved by star contraction; removed vertices then take the labels of those they hung on, last removed
+first. Rounds go on while one takes away a fair part of the edges; a deep tree's rest is left to the core, which solves any graph.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.operators.components import both_ways, connected_components
-from gleanframe.session import cut
+from gleanframe.operators.ordering import numbered
+from gleanframe.session import counted, cut
 
 
 def _low_degree(edges: DataFrame) -> DataFrame:
@@ -73,14 +74,16 @@ def rank_chains(chain: DataFrame) -> DataFrame:
             )
         )
     )
-    arcs = cut(arcs.select("v", "back", "end", "previous", F.col("v").alias("low"), F.lit(True).alias("active")))
-    before = None
-    while True:
-        arcs = cut(_jump(_jump(arcs)))
-        now = arcs.where("active").agg(F.count(F.lit(1)), F.sum(F.col("low").cast("decimal(38,0)"))).first()
-        if not now[0] or now == before:
-            return arcs
+    arcs = arcs.select("v", "back", "end", "previous", F.col("v").alias("low"), F.lit(True).alias("active"))
+    active = F.col("active")
+    measures = {"active": F.count_if(active), "sum": F.sum(F.when(active, F.col("low")).cast("decimal(38,0)"))}
+    arcs, before = counted(_jump(arcs), **measures)
+    while before["active"]:
+        arcs, now = counted(_jump(_jump(arcs)), **measures)
+        if now == before:
+            break
         before = now
+    return arcs
 
 
 def _compress(edges: DataFrame, chain: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,23 +99,29 @@ def _compress(edges: DataFrame, chain: DataFrame) -> tuple[DataFrame, DataFrame]
     return left, removed
 
 
+#: A round that leaves more than this part of the edges is the last.
+WORTH = 0.9
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """(v, label) for each vertex of ``edges`` (u < v, bigint, distinct); vertices of one component share a label."""
     removed: list[DataFrame] = []
-    while True:
-        low = cut(_low_degree(edges))
-        found = {d: n for d, n in low.groupBy("d").count().collect()}
-        if found.get(1):
+    rows = F.count(F.lit(1))
+    degrees = {"leaves": F.count_if(F.col("d") == 1), "inner": F.count_if(F.col("d") == 2)}
+    edges, n = counted(edges, rows=rows)
+    while n["rows"]:
+        before = n["rows"]
+        low, found = counted(_low_degree(edges), **degrees)
+        if found["leaves"]:
             edges, leaves = _strip(edges, low.where("d = 1"))
-            edges = cut(edges)
+            edges, n = counted(edges, rows=rows)
             removed.append(leaves)  # a small aggregate of kept rows, like the chains' below
-            low = _low_degree(edges)
-        chain = cut(low.where("d = 2"))
-        if not chain.isEmpty():
-            edges, inner = _compress(edges, chain)
-            edges = cut(edges)
+            low, found = counted(_low_degree(edges), **degrees)
+        if found["inner"]:
+            edges, inner = _compress(edges, low.where("d = 2"))
+            edges, n = counted(edges, rows=rows)
             removed.append(inner)
-        elif not found.get(1):
+        if n["rows"] > WORTH * before:
             break
     labels = connected_components(edges)
     for part in reversed(removed):
@@ -139,17 +148,17 @@ def consolidate(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    names = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    seed = 0
-    while True:
-        code = lambda c: F.xxhash64(F.lit(seed), F.col(c))  # noqa: B023, E731
-        total, codes = names.agg(F.count(F.lit(1)), F.count_distinct(code("id"))).first()
-        if total == codes:
-            break
-        seed += 1
-    coded = pairs.select(code("a").alias("x"), code("b").alias("y"))
-    edges = cut(coded.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
-    labels = component_labels(edges).join(names.select("id", code("id").alias("v")), "v").select("id", "label")
+    names = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("v", F.xxhash64("id"))
+    names, n = counted(names, ids=F.count(F.lit(1)))
+    if names.agg(F.count_distinct("v")).first()[0] == n["ids"]:
+        coded = pairs.select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"))
+    else:
+        # Two ids have one hash, as is likely beyond some 10⁹ of them: they are numbered, and the links joined with the numbers.
+        names = cut(numbered(names.select("id"), [F.col("id")], "v"))
+        first, second = names.select(F.col("id").alias("a"), F.col("v").alias("x")), names.select(F.col("id").alias("b"), F.col("v").alias("y"))
+        coded = pairs.join(first, "a").join(second, "b")
+    edges = coded.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    labels = component_labels(edges).join(names, "v").select("id", "label")
     groups = labels.groupBy("label").agg(F.min("id").alias("group_id"))
     return labels.join(groups, "label").select("id", "group_id")
 
