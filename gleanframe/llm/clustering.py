@@ -39,7 +39,7 @@ class ClusterSettings:
     most_leaves: int = 20000
     leaf_ratio: float = 1.03
     leaf_width: int = 6
-    spread: int = 16
+    spread: int = 32
     index: IndexSettings = IndexSettings()
 
 

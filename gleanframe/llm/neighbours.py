@@ -43,7 +43,7 @@ class IndexSettings:
     ratio: float = 1.03
     width: int = 8
     unit_rows: int = 8192
-    block_rows: int = 2048
+    block_rows: int = 4096
 
 
 @dataclass
