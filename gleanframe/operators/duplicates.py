@@ -44,12 +44,34 @@ def hash_from_hex(text: str) -> Column:
     return F.when(F.col(text).rlike("\\A[0-9a-f]{16}\\z"), F.conv(F.col(text), 16, -10).cast("bigint"))
 
 
+#: Up to this distance bands of 5 bits or more bring together less than a third of all pairs.
+BANDED = 11
+
+#: Fingerprints of a block; two blocks are compared at once.
+BLOCK = 4096
+
+
+def _every_two(rows: DataFrame, distance: int) -> DataFrame:
+    rows = cut(rows)
+    blocks = max(1, -(-rows.count() // BLOCK))
+    at = rows.withColumn("at", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    at = at.select("k", "h", "at", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
+    a, b = at.alias("a"), at.alias("b")
+    once = (F.col("a.k") < F.col("b.k")) & ((F.col("a.at") != F.col("b.at")) | (F.col("a.low") == F.col("a.high")))
+    apart = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))).cast("int")
+    same = (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
+    return a.join(b, same & once & (apart <= distance)).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), apart.alias("distance"))
+
+
 def hamming_links(classes: DataFrame, key: str, bits: str, distance: int) -> DataFrame:
     """(a, b, distance), a < b: pairs of fingerprints that differ in up to ``distance`` bits.
 
     Fingerprints are cut into ``distance`` + 1 bands: two within the distance agree in one of them. A pair comes from the
-    first band in which it agrees, so none comes twice. Give one row a fingerprint; equal ones link at 0.
+    first band in which it agrees, so none comes twice. Bands of few bits, for distances above ``BANDED``, agree by chance more often
+    than there are pairs; then every two are compared, block by block. Give one row a fingerprint; equal ones link at 0.
     """
+    if distance > BANDED:
+        return _every_two(classes.where(F.col(key).isNotNull() & F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("h")), distance)
     bands = distance + 1
     edges = [64 * i // bands for i in range(bands + 1)]
     pieces = [
