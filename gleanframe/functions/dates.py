@@ -11,6 +11,7 @@ _FORM = "\\A([0-9]{4}):([0-9]{2}):([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})\\z
 
 #: Why a date has no folder.
 MISSING, OTHER_FORM, NO_DATE = "missing_datetime_original", "invalid_datetime_original_format", "invalid_datetime_original_value"
+NO_METADATA, OTHER_EXIF, OTHER_TYPE = "metadata_unavailable", "invalid_exif_type", "invalid_datetime_original_type"
 
 
 def date_bucket(text: Column, granularity: str) -> Column:
@@ -26,3 +27,20 @@ def skip_reason(text: Column) -> Column:
         .when(~text.rlike(_FORM), OTHER_FORM)
         .when(~real, NO_DATE)
     )
+
+
+def saved_date(state: Column, metadata: Column) -> tuple[Column, Column]:
+    """(date text, why there is no folder) of an item's state and metadata document. A document that can't be read has no EXIF."""
+    document = F.try_parse_json(metadata)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    exif, taken = kind("$.exif"), kind("$.exif.datetime_original")
+    text = F.try_variant_get(document, "$.exif.datetime_original", "string")
+    absent = lambda k: F.coalesce(k, F.lit("VOID")) == "VOID"
+    reason = (
+        F.when(~F.coalesce(state == "available", F.lit(False)), NO_METADATA)
+        .when(~absent(exif) & ~exif.startswith("OBJECT"), OTHER_EXIF)
+        .when(absent(taken), MISSING)
+        .when(taken != "STRING", OTHER_TYPE)
+        .otherwise(skip_reason(text))
+    )
+    return text, reason

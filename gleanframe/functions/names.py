@@ -28,11 +28,24 @@ def name_key(text: pd.Series) -> pd.Series:
     return text.map(key_of)
 
 
-def latin_query(text: str) -> str:
-    """The text of a semantic query: composed and stripped, in Latin script, without control characters; else an error."""
-    query = unicodedata.normalize("NFC", text).strip()
-    if not query or any(unicodedata.category(c) in ("Cc", "Cf", "Cs") for c in query):
-        raise ValueError("empty, or with control characters")
-    if any(c.isalpha() and "LATIN" not in unicodedata.name(c, "") for c in query):
+#: Characters of a query at most, categories that it may not have, and the word in the names of its letters.
+LONGEST_QUERY, NOT_IN_QUERIES, SCRIPT = 4096, {"Cc", "Cs"}, "LATIN"
+
+
+def _foreign(letter: str) -> bool:
+    return SCRIPT not in unicodedata.name(letter, "").split(" ")
+
+
+def latin_query(text: str, instead: str | None = None) -> str:
+    """What a semantic query is encoded from: the text, or what is given instead of it, without blanks around it.
+
+    Both are refused if they are blank, too long, or have control characters or surrogates; format characters are let through.
+    The one that is encoded may have no letters of other scripts.
+    """
+    for given in (text, instead):
+        if given is not None and (not given.strip() or len(given) > LONGEST_QUERY or NOT_IN_QUERIES & {*map(unicodedata.category, given)}):
+            raise ValueError("blank, too long, or with control characters")
+    encoded = text if instead is None else instead
+    if any(map(_foreign, filter(str.isalpha, encoded))):
         raise ValueError("not in Latin script")
-    return query
+    return encoded.strip()

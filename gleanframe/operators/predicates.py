@@ -64,6 +64,17 @@ def cell(matched: Column, score: Column | None = None, unknown: Column | None =
     return F.when(unknown.isNull(), known).otherwise(gap)
 
 
+def whole_cell(matched: Column, score_type: str, direction: str, sources: Column, evidence: Column, score: Column | None = None, unknown: Column | None = None) -> Column:
+    """``cell`` with the kind of its score (exact, fraction, cosine), the direction that is better, the results that it was read
+    from, and what was seen there (NULL where unknown)."""
+    known = cell(matched, score, unknown)
+    seen = evidence if unknown is None else F.when(unknown.isNull(), evidence)
+    return F.struct(
+        known["status"].alias("status"), known["raw_score"].alias("raw_score"), F.lit(score_type).alias("score_type"), F.lit(direction).alias("direction"),
+        sources.alias("sources"), seen.alias("evidence"), known["reason"].alias("reason"),
+    )
+
+
 def object_count(objects: Column, class_id: str, operator: str, value: int, threshold: float) -> Column:
     """Whether the objects (array of struct(class_id, score)) of a class at or above a score number ``value`` (eq, ge, le)."""
     n = F.size(F.filter(objects, lambda o: (o["class_id"] == class_id) & (o["score"] >= threshold)))

@@ -28,3 +28,12 @@ def usage_totals(calls: DataFrame, by: list[str], key: str, fields: list[str]) -
     total = [F.when(F.count(f) == F.count(F.lit(1)), F.sum(f)).alias(f"total_{f}") for f in fields]
     seen = [F.sum(f).alias(f"observed_{f}") for f in fields]
     return one.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *total, *seen)
+
+
+def attempt_totals(rows: DataFrame, batch: str, attempt: str, newest: list[Column], amount: Column) -> DataFrame:
+    """(batch, attempts, reported, total, complete): of several rows of an attempt the last by ``newest`` counts; ``total`` is
+    NULL where no attempt has reported an amount, and complete where all have."""
+    last = rows.groupBy(batch, attempt).agg(F.max_by(F.struct(amount.alias("amount")), F.struct(*newest))["amount"].alias("amount"))
+    return last.groupBy(F.col(batch).alias("batch")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count("amount").alias("reported"), F.sum("amount").alias("total"), (F.count("amount") == F.count(F.lit(1))).alias("complete")
+    )

@@ -10,6 +10,7 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The kinds of conditions and their fields.
 FIELDS = {
     "object_count": {"class_id", "operator", "value", "score_threshold"},
     "ocr_contains": {"text"},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from gleanframe.functions.images import difference_hash, hue_and_saturation
@@ -12,10 +14,11 @@ from gleanframe.operators import snapshots as sn
 from gleanframe.operators.components import connected_components
 from gleanframe.operators.duplicates import copy_labels, linked_labels
 from gleanframe.operators.pairs import exact_subgroups, pair_page
-from gleanframe.operators.trigrams import search, trigrams
+from gleanframe.operators.trigrams import open_index, save_index, search
 from gleanframe.queries.conditions import _AND, _CELLS, _cells, condition_cells, unified_and, unified_cap
 from gleanframe.queries.duplicates import _AT_8, _BITS, _RESULTS, current_photos, dup_fingerprint_members, dup_hamming_links, dup_hamming_links_at_8
 from gleanframe.plans.conditions import cells_of
+from gleanframe.session import ensure_checkpoint_dir
 from gleanframe.sources.tables import table
 
 
@@ -25,9 +28,20 @@ def exact_pair_page(spark, folder):
     return pair_page(rows, "content", "doc_id", 100, 50)
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def trigram_search(spark, folder):
+    """Texts with a literal, by an index that is written once in an application and checked when it is."""
     rows = table(spark, folder, "documents", ["doc_id", "text"]).select("doc_id", F.lower("text").alias("low"))
-    return search(trigrams(rows, "doc_id", "low"), rows, "doc_id", "low", "market stall")
+    name = (spark.sparkContext.applicationId, folder)
+    if name not in _indexes:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/trigrams-{uuid4().hex}"
+        save_index(rows, "doc_id", "low", path)
+        open_index(spark, path, "doc_id", verify=True)
+        _indexes[name] = path
+    return search(open_index(spark, _indexes[name], "doc_id"), rows, "doc_id", "low", "market stall")
 
 
 def retrieval_counts(spark, folder):

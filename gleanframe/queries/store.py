@@ -305,5 +305,11 @@ select status, count(*) as calls, cast(case when count(a) = count(*) then sum(a)
     "json_props": "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events",
     "batch_ordinals": "select doc_id, cast((row_number() over (order by doc_id) - 1) // 4 as bigint) as batch, (row_number() over (order by doc_id) - 1) % 4 as place from documents",
     "changed_events": "select event_id, before, value from (select event_id, value, lag(value) over (partition by user_id, event_type order by ts, event_id) as before from events) where value is distinct from before",
+    "stream_scan_diff": "select 'added' as change, count(distinct user_id) as users from events where ts is not null",
+    "box_areas": """with o as (select l_orderkey as k, (l_partkey % 50) / 100.0::double as x1, (l_suppkey % 50) / 100.0::double as y1, (l_partkey % 50) / 100.0::double + l_quantity / 100 as x2, (l_suppkey % 50) / 100.0::double + l_discount + 0.05 as y2 from lineitem),
+  xs as (select k, x as lo, lead(x) over (partition by k order by x) as hi from (select k, x1 as x from o union select k, x2 from o)),
+  iv as (select xs.k, lo, hi, y1, y2, max(y2) over (partition by xs.k, lo order by y1, y2 rows between unbounded preceding and 1 preceding) as reach from xs join o on o.k = xs.k and x1 <= lo and x2 >= hi where hi is not null)
+select iv.k as l_orderkey, round(sum((hi - lo) * greatest(0, y2 - greatest(y1, coalesce(reach, y1)))), 6) as union_area, any_value(around) as bounding_area
+from iv join (select k, round((max(x2) - min(x1)) * (max(y2) - min(y1)), 6) as around from o group by 1) b on b.k = iv.k group by 1""",
     "event_windows": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events where ts is not null group by 1, 2",
 }

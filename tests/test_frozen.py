@@ -11,7 +11,8 @@ from gleanframe.functions.names import key_of, latin_query, name_of
 from gleanframe.operators import snapshots as sn
 from gleanframe.operators.ordering import running_total
 from gleanframe.operators.pairs import exact_subgroups, group_digest, pair_page
-from gleanframe.operators.trigrams import search, trigrams
+from gleanframe.operators.snapshots import Stale
+from gleanframe.operators.trigrams import open_index, save_index, search, trigrams
 from gleanframe.plans.extractors import Extractor, Registry
 
 
@@ -60,6 +61,16 @@ def test_trigrams(spark):
         assert got == [i for i, t in enumerate(texts) if t is not None and literal in t]
 
 
+def test_saved_trigrams(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i} stall") for i in range(30)] + [(99, None)], "k int, t string")
+    save_index(df, "k", "t", str(tmp_path / "index"))
+    index = open_index(spark, str(tmp_path / "index"), "k", verify=True)
+    assert sorted(r[0] for r in search(index, df, "k", "t", "text 2").collect()) == [2, *range(20, 30)]
+    spark.createDataFrame([("abc", 5, 3)], "gram string, k int, bucket int").write.partitionBy("bucket").mode("append").parquet(str(tmp_path / "index" / "grams"))
+    with pytest.raises(Stale):
+        open_index(spark, str(tmp_path / "index"), "k", verify=True)
+
+
 def test_components_digest(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "v bigint, label bigint")
     one = dict(map(tuple, group_digest(labels, "d=8").collect()))
@@ -86,9 +97,13 @@ def test_pictures(spark):
 def test_names():
     assert name_of("  Café ") == "Café" and key_of("STRASSE") == key_of("Straße") and name_of(" ") is None and name_of("a\x00") is None
     assert latin_query(" crème ") == "crème"
-    for bad in ("", "море", "a​b"):
+    assert latin_query("a\u200bb") == "a\u200bb"  # the reference lets format characters through
+    assert latin_query("море", "the sea") == "the sea"
+    for bad in ("", "море", "a\x00b", "x" * 4097):
         with pytest.raises(ValueError):
             latin_query(bad)
+    with pytest.raises(ValueError):
+        latin_query("sea", " ")
 
 
 def test_extractors_compute_once(spark):

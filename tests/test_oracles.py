@@ -23,6 +23,6 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["p4_found", "p4_edit_steps", "box_areas", "stream_scan_diff"])
+@pytest.mark.parametrize("name", ["p4_found", "p4_edit_steps"])
 def test_runs(name, spark, data):
     assert entry.queries()[name](spark, data).count() > 0
