@@ -393,6 +393,47 @@ def cluster_vectors(
     return valid.unionByName(as_first(extra, valid, key).select(key, "cluster_id", "cosine"))
 
 
+def exact_clusters(vectors: DataFrame, key: str, vector: str, limit: float, least: int, block_rows: int = 1 << 13) -> DataFrame:
+    """(key, cluster_id) as ``cluster_vectors`` means it, by comparing every two vectors in blocks: the measure for recall.
+
+    A vector's neighbours, itself included, come out as their number, their least key and a sum of their keys' hashes; a
+    cluster is a set of as many vectors of one such outcome as it has neighbours. Work grows with the square of the rows.
+    """
+    kind = dict(vectors.dtypes)[key]
+    one = cut(vectors.select(key, vector, F.xxhash64(key).alias("h"), F.lit(0).alias("list")))
+    units = blocked(one, key, "list", crowded(one, "list", block_rows))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by(key)  # the first near column is the least key
+        x, block, h = matrix(table[vector]), table["block"].to_numpy(), table["h"].to_numpy()
+        single = x.astype(np.float32)
+        a, b = (np.flatnonzero(block == table[unit][0].as_py()) for unit in ("unit_a", "unit_b"))
+        rows, n, first, total = [], [], [], []
+        for of, among in ((a, b),) if table["unit_a"][0].as_py() == table["unit_b"][0].as_py() else ((a, b), (b, a)):
+            for i in range(0, len(of) if len(among) else 0, 512):
+                part = of[i : i + 512]
+                near = _reaches(x, single, part, among, limit) | (part[:, None] == among[None, :])
+                some = near.any(1)
+                near, part = near[some], part[some]
+                r, c = np.nonzero(near)
+                sums = np.zeros(len(part), np.int64)
+                np.add.at(sums, r, h[among[c]])
+                rows.append(part)
+                n.append(near.sum(1))
+                first.append(among[near.argmax(1)] if len(part) else part)
+                total.append(sums)
+        rows, n, first, total = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, n, first, total))
+        names = table[key].combine_chunks()
+        return pa.table({key: names.take(pa.array(rows)), "n": pa.array(n.astype(np.int64)), "first": names.take(pa.array(first)), "total": pa.array(total.astype(np.int64))})
+
+    seen = units.groupBy("unit_a", "unit_b").applyInArrow(run, f"`{key}` {kind}, n bigint, first {kind}, total bigint")
+    # Each block's sum is a 64-bit one that may have run over; modulo 2⁶⁴ their total doesn't depend on the blocks.
+    outcome = seen.groupBy(key).agg(F.sum("n").alias("n"), F.min("first").alias("cluster_id"), F.pmod(F.sum(F.col("total").cast("decimal(38,0)")), F.lit(str(2**64)).cast("decimal(38,0)")).alias("total"))
+    outcome = cut(outcome.where(F.col("n") >= least))
+    whole = outcome.groupBy("n", "cluster_id", "total").agg(F.count(F.lit(1)).alias("members")).where("members = n").drop("members")
+    return outcome.join(whole, ["n", "cluster_id", "total"]).select(key, "cluster_id")
+
+
 def describe_clusters(members: DataFrame, key: str, typical: int = 3) -> DataFrame:
     """(cluster_id, size, typical): each cluster's size and the members nearest to its mean, ties by key.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm.clustering import cluster_vectors, describe_clusters
+from gleanframe.llm.clustering import cluster_vectors, describe_clusters, exact_clusters
 from gleanframe.llm.similar import _VECTORS, LEAST_COSINE, photo_vectors
+from gleanframe.session import cut
 
 LEAST_MEMBERS = 5
 
@@ -24,7 +25,17 @@ def p6_described(spark: SparkSession, folder: str) -> DataFrame:
     return describe_clusters(_members(spark, folder), "photo_id").withColumn("typical", F.array_join("typical", " "))
 
 
-QUERIES = {"p6_found": p6_found, "p6_described": p6_described}
+def p6_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the members that comparing every two vectors gives are found, and how many are found that aren't there."""
+    vectors = cut(photo_vectors(spark, folder))
+    exact = exact_clusters(vectors, "photo_id", "vector", LEAST_COSINE, LEAST_MEMBERS).withColumn("true", F.lit(1))
+    found = cluster_vectors(vectors, "photo_id", "vector", LEAST_COSINE, LEAST_MEMBERS).select("photo_id", "cluster_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["photo_id", "cluster_id"], "full")
+    counts = both.agg(F.count("true").alias("members"), F.count_if(F.col("true").isNotNull() & F.col("hit").isNotNull()).alias("found"), F.count_if(F.col("true").isNull()).alias("wrong"))
+    return counts.withColumn("recall", F.try_divide("found", "members"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_described": p6_described, "p6_recall": p6_recall}
 SQL = {
     "p6_found": f"""with {_VECTORS},
   near as (

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.operators.components import both_ways, connected_components
@@ -139,6 +139,10 @@ def component_labels(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def vertex(column: str) -> Column:
+    return F.xxhash64(column)
+
+
 def consolidate(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, group_id) for each id of ``links``; group_id is the least id linked to it directly or through others.
 
@@ -148,10 +152,10 @@ def consolidate(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    names = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("v", F.xxhash64("id"))
+    names = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("v", vertex("id"))
     names, n = counted(names, ids=F.count(F.lit(1)))
     if names.agg(F.count_distinct("v")).first()[0] == n["ids"]:
-        coded = pairs.select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"))
+        coded = pairs.select(vertex("a").alias("x"), vertex("b").alias("y"))
     else:
         # Two ids have one hash, as is likely beyond some 10⁹ of them: they are numbered, and the links joined with the numbers.
         names = cut(numbered(names.select("id"), [F.col("id")], "v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm.tokens import decode, encode, encode_with_offsets, tokenizer_path
+from gleanframe.llm.tokens import decode, encode, encode_with_offsets, misplaced, tokenizer_path
 from gleanframe.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k"
@@ -28,8 +28,14 @@ def p7_span_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p7_span_totals": p7_span_totals}
+def p7_misplaced(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens whose bytes aren't those of the slice of the text that their offsets name. There are none."""
+    return misplaced(table(spark, folder, "documents", ["doc_id", "text"]), "doc_id", "text", tokenizer_path(TOKENIZER))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p7_span_totals": p7_span_totals, "p7_misplaced": p7_misplaced}
 SQL = {
+    "p7_misplaced": "select doc_id, cast(0 as int) as position from documents where false",
     "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p7_span_totals": "select doc_id, cast(0 as bigint) as first_char, cast(length(text) as bigint) as end_char from documents where text <> ''",
 }

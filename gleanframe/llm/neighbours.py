@@ -33,13 +33,13 @@ class IndexSettings:
     compared in pairs of blocks."""
 
     list_rows: int = 1024
-    group_lists: int = 256
+    group_lists: int = 512
     most_groups: int = 8192
     sample_rows: int = 32
     group_sample: int = 1 << 17
     separation: float = 0.85
     overlap: float = 1.15
-    group_width: int = 12
+    group_width: int = 24
     ratio: float = 1.03
     width: int = 8
     unit_rows: int = 8192

@@ -201,3 +201,31 @@ def encode_with_offsets(documents: DataFrame, key: str, text: str, path: str) ->
     return documents.select(key, text).mapInArrow(
         run, f"`{key}` {kind}, position int, id int, first_char int, end_char int"
     )
+
+
+def misplaced(documents: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(key, position) of tokens whose bytes aren't those of their characters in the text: all of them, where they begin and end
+    with a character, a part of them in their place, where a character is split. There are none in well-formed texts."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = byte_table(path)
+        for batch in _text_batches(stream, 1 << 22):
+            texts = batch.column(1).to_pylist()
+            ids, counts = encode_texts(path, texts)
+            row, position = [], []
+            at = 0
+            for r, (t, n) in enumerate(zip(texts, counts.tolist())):
+                own = ids[at : at + n].tolist()
+                at += n
+                before = 0  # bytes of the text before this token
+                ends = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in t or "")])  # bytes before each character
+                for k, (i, first, end) in enumerate(zip(own, *token_spans(path, own))):
+                    start = before - int(ends[min(first, len(ends) - 1)])
+                    if (t[first:end].encode("utf-8", "surrogatepass"))[start : start + len(table[i])] != table[i] or start < 0 or end - first > max(1, len(table[i])):
+                        row.append(r)
+                        position.append(k)
+                    before += len(table[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(position, pa.int32())], [key, "position"])
+
+    kind = dict(documents.dtypes)[key]
+    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, position int")

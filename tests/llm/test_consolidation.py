@@ -61,3 +61,14 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "a string, b string")
     assert consolidate(empty, "a", "b").count() == 0
     assert group_sizes(consolidate(empty, "a", "b")).count() == 0
+
+
+def test_colliding_hashes(spark, monkeypatch):
+    """Where two ids have one hash, ids are numbered instead."""
+    from pyspark.sql import functions as F
+
+    from gleanframe.llm import consolidation
+
+    pairs = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("p", "q")]
+    monkeypatch.setattr(consolidation, "vertex", lambda column: F.length(column).cast("bigint"))
+    assert run(spark, pairs) == brute(pairs)

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleanframe.llm.quality import KINDS, classify, document_statistics, outlierness, prose_model
+from gleanframe.llm.quality import KINDS, QualitySettings, classify, document_statistics, outlierness, prose_limit, prose_model
 from gleanframe.llm.text_stats import STATISTICS, language_of, statistics, words_of
 
 COMMON = {"en": frozenset("the a of and is in it was to we".split()), "de": frozenset("der die das und ist nicht".split()), "zh-CN": frozenset("的了在是"), "ja": frozenset("のにはを")}
@@ -57,6 +57,25 @@ def test_held_out_labels(spark):
     assert abs(sum(row["contributions"]) - row["distance"] ** 2) < 1e-6 * max(1, row["distance"] ** 2)
 
 
+def test_distance_decides_prose(spark):
+    """Documents within the limit are prose whatever the labels say; the limit is the root of a chi-square quantile."""
+    assert abs(prose_limit(QualitySettings(), 38) ** 2 - 70.70) < 0.1  # of 38 degrees of freedom at 0.999
+    n = len(STATISTICS)
+    rows = [(i, "en", [0.0] * n, 1.0 if i < 10 else 50.0 + i, [float(i % 3)] * n) for i in range(40)]
+    scored = spark.createDataFrame(rows, "doc_id bigint, language string, stats array<double>, distance double, contributions array<double>")
+    labels = spark.createDataFrame([(i, "junk" if i % 2 else "table") for i in range(40)], "doc_id bigint, text_kind string")
+    out = {r["doc_id"]: r["text_kind"] for r in classify(scored, labels, "doc_id", "text_kind").collect()}
+    assert {k for k, v in out.items() if v == "prose"} == set(range(10)) and len(out) == 40
+
+
+def test_statistics_query_gives_all_contributions(spark, data):
+    from gleanframe.llm.prose import p9_statistics
+
+    rows = p9_statistics(spark, data).where("language is not null").limit(50).collect()
+    assert all(set(r["contributions"]) == set(STATISTICS) for r in rows)
+    assert all(abs(sum(r["contributions"].values()) - r["distance"] ** 2) < 1e-3 * max(1, r["distance"] ** 2) for r in rows)
+
+
 def test_edge_cases(spark):
     schema = "doc_id bigint, text string, lang string, stats string"
     rows = [(1, None, None, ""), (2, "", "en", ""), (3, " \n", "en", ""), (4, "the cat is in the house and it was good to see.", "xx", ""), (5, "a1b2 " * 20000, None, ""), (5, "a1b2 " * 20000, None, "")]

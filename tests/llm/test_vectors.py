@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from gleanframe.llm.clustering import ClusterSettings, FeatureTree, cluster_vectors, describe_clusters, ward
+from gleanframe.llm.clustering import ClusterSettings, FeatureTree, cluster_vectors, describe_clusters, exact_clusters, ward
 from gleanframe.llm.neighbours import IndexSettings, exact_nearest, nearest_vectors, recall_against, top_columns
 from gleanframe.llm.subset import choose_varied, pivoted_rows
 from gleanframe.llm.vectors import CentroidGraph, balanced_centres, current_vectors, separated
@@ -119,8 +119,10 @@ def test_feature_tree_keeps_sums():
     x = rng.standard_normal((400, 5))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     tree = FeatureTree(5, 0.9, 4)
-    for v in x:
+    for v in x[:100]:
         tree.add(v)
+    tree.add_all(x[100:250])
+    tree.add_all(x[250:])
     sums, counts = tree.features()
     assert counts.sum() == 400 and np.allclose(sums.sum(0), x.sum(0)) and len(counts) == tree.leaves
     owner = ward(sums / counts[:, None], counts, 0.9)
@@ -148,6 +150,51 @@ def test_graph_search_and_top_columns():
     assert len(separated(np.array([[1.0, 0], [0.99, 0.14], [0, 1.0]]), 0.85)) == 2
 
 
+def test_graph_search_goes_on_until_nothing_is_better():
+    """Many centres without any structure, asked for from near and far: the hardest case for a graph."""
+    rng = np.random.default_rng(5)
+    c = rng.standard_normal((8192, 64))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    graph = CentroidGraph.build(c)
+    for noise in (0.08, 0.12):
+        q = c[rng.integers(0, len(c), 400)] + noise * rng.standard_normal((400, 64))
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        assert (graph.search(q, 8)[0][:, 0] == (q @ c.T).argmax(1)).mean() >= 0.98
+
+
+def test_recall_over_hundreds_of_lists_in_groups(spark):
+    """The production ratio and width, with lists so short that there are some 800 of them in 13 groups."""
+    from gleanframe.llm.similar import photo_vectors
+    from gleanframe.session import cut
+
+    vectors = cut(photo_vectors(spark, "/root/testdata/sf0.1"))
+    rows = vectors.orderBy("photo_id").collect()
+    x = np.asarray([r["vector"] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    keys, true = [r["photo_id"] for r in rows], set()
+    for i in range(0, len(x), 2000):
+        c = np.round(x[i : i + 2000] @ x.T, 6)
+        c[np.arange(len(c)), np.arange(i, i + len(c))] = -2
+        for r, col in enumerate(top_columns(c, 5)):
+            true |= {(keys[i + r], keys[j]) for j in col if c[r, j] >= 0.85}
+    settings = IndexSettings(list_rows=14, group_lists=64)
+    got = {(r["photo_id"], r["neighbour"]) for r in nearest_vectors(vectors, "photo_id", "vector", 5, 0.85, settings).collect()}
+    assert len(got & true) / len(true) >= 0.95
+
+
+def test_exact_clusters_equal_brute_force(photos):
+    df, keys, c = photos
+    got = {(r["photo_id"], r["cluster_id"]) for r in exact_clusters(df, "photo_id", "vector", 0.85, 5, block_rows=50).collect()}
+    assert got == brute_clusters(keys, c, 0.85, 5)
+
+
+def test_cluster_recall(spark):
+    from gleanframe.llm.clusters import p6_recall
+
+    row = p6_recall(spark, "/root/testdata/sf0.1").first()
+    assert row["recall"] >= 0.99 and row["wrong"] == 0
+
+
 def test_subset(photos, spark):
     df, keys, c = photos
     rows = [r["photo_id"] for r in choose_varied(df, "photo_id", "vector", 20).orderBy("rank").collect()]
