@@ -52,6 +52,11 @@ def condition_pool(cells: DataFrame, semantic_candidates: int = 10) -> DataFrame
     return cells.where("status = 'matched'").select("item").unionByName(near.select("item")).distinct()
 
 
+def pool_cells(cells: DataFrame, semantic_candidates: int = 10) -> DataFrame:
+    """The cells of all conditions for the items of ``condition_pool``: an item that one condition brings is scored by every one."""
+    return cells.join(condition_pool(cells, semantic_candidates), "item", "left_semi")
+
+
 def pattern_scores(cells: DataFrame) -> DataFrame:
     """(item, matched_ids, matched_count, pattern_score) of items with a match: the mean normalized score of their matches."""
     matched = cells.where("status = 'matched'").select("item", "condition_id", "raw_score")

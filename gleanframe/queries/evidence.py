@@ -13,11 +13,14 @@ from gleanframe.operators import geometry as g
 from gleanframe.operators import predicates as p
 from gleanframe.operators import reviews as r
 from gleanframe.operators import scopes as sc
+from gleanframe.operators import search as s
 from gleanframe.operators import versions as v
 from gleanframe.operators.current import current_rows
 from gleanframe.operators.ordering import average_rank_percentile, monotone_times, numbered
+from gleanframe.plans.encoders import hashed_encoder, semantic_ranks
+from gleanframe.queries.conditions import _CELLS, condition_cells
 from gleanframe.queries.duplicates import REFERENCE_DISTANCE, _photo_prints, current_photos
-from gleanframe.queries.store import _members, _two_folders
+from gleanframe.queries.store import _DIFF, _members, _two_folders, scan_diff
 from gleanframe.sources.tables import table
 
 
@@ -208,11 +211,29 @@ def attempt_usage(spark, folder):
     return r.attempt_totals(rows, "user_id", "event_type", [F.col("event_id")], F.when(F.col("value") > 20, F.floor("value")))
 
 
+def pool_cells(spark, folder):
+    """Every condition's cells of the pool of two semantic conditions and structured matches."""
+    return s.pool_cells(condition_cells(spark, folder).where("condition_id <> 'centre'"), 10).select("item", "condition_id", "status", "raw_score")
+
+
+def scan_changes(spark, folder):
+    """Photos whose scan found a change."""
+    return scan_diff(spark, folder).where("change <> 'unchanged'")
+
+
+def semantic_search(spark, folder):
+    """The 20 items that are nearest to an encoded text, with ranks and gaps."""
+    encoder = hashed_encoder(64)
+    rows = table(spark, folder, "embeddings", ["vec_id", "embedding"])
+    found = semantic_ranks(rows, "vec_id", "embedding", encoder.vector("море", "the sea at dusk"), 20)
+    return found.select("vec_id", "raw_score", "rank", F.round("gap_from_best", 6).alias("gap_from_best"), F.round("gap_to_next", 6).alias("gap_to_next"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         photo_date_folders, photo_date_skips, date_folder_plan, dependency_coverage, dependency_gaps, dependency_closure, rank_percentiles, position_cells, compositions,
-        near_duplicate_hamming, recognised_text, text_blocks, size_labels, item_folders, folder_deletion, folder_removal, ordered_requests, joined_lists, strict_times, batch_results, attempt_usage,
+        near_duplicate_hamming, recognised_text, text_blocks, size_labels, item_folders, folder_deletion, folder_removal, ordered_requests, joined_lists, strict_times, batch_results, attempt_usage, pool_cells, scan_changes, semantic_search,
     )
 }
 
@@ -248,7 +269,16 @@ _PRINTS = """latest as (select * from (select lower(trim(photo_id)) as pid, vect
 _EDGES = """e as (select lower(trim(result_id)) as s, lower(trim(source_result_id)) as t from image_feature_embedding_dependencies where trim(result_id) <> '' and trim(source_result_id) <> ''
   union select lower(trim(result_id)), lower(trim(profile_id)) from image_embedding_results where trim(result_id) <> '' and trim(profile_id) <> '')"""
 
+# The axis of the text: the first eight bytes of its SHA-256, modulo 64, are the last six bits of the eighth byte.
+_AXIS = "(select (16 * (instr('0123456789abcdef', h[15]) - 1) + instr('0123456789abcdef', h[16]) - 1) % 64 + 1 as axis from (select sha256('the sea at dusk') as h))"
 SQL = {
+    "pool_cells": f"""with {_CELLS}, near as (select item, row_number() over (partition by condition_id order by raw_score desc, item) as n from cells where status = 'eligible'),
+  pool as (select item from cells where status = 'matched' and condition_id <> 'centre' union select item from near where n <= 10)
+select item, condition_id, status, raw_score from cells where condition_id <> 'centre' and item in (select item from pool)""",
+    "scan_changes": f"select * from ({_DIFF}) where change <> 'unchanged'",
+    "semantic_search": f"""with x as (select vec_id, round(cast(embedding[axis] as double) / sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))), 6) as raw_score from embeddings, {_AXIS}),
+  r as (select *, row_number() over (order by raw_score desc, vec_id) as rank, max(raw_score) over () as best, lead(raw_score) over (order by raw_score desc, vec_id) as next from x)
+select vec_id, raw_score, cast(rank as int) as rank, round(best - raw_score, 6) as gap_from_best, round(raw_score - next, 6) as gap_to_next from r where rank <= 20""",
     "photo_date_folders": f"with {_DATES} select granularity, replace(t[1:n], ':', '-') as folder, count(*) as photos from dated, (values ('year', 4), ('month', 7), ('day', 10)) g(granularity, n) where reason is null group by 1, 2",
     "photo_date_skips": f"with {_DATES} select reason, count(*) as photos from dated where reason is not null group by 1",
     "date_folder_plan": f"with {_DATES}, {_M} select replace(t[1:7], ':', '-') as name, count(*) as requested, count(i.item) as elsewhere, count(*) filter (where i.item is null) as unplaced from dated left join (select distinct item from m) i on i.item = pid where reason is null group by 1",
