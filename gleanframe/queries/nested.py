@@ -43,5 +43,12 @@ def p4_edit_steps(spark: SparkSession, folder: str) -> DataFrame:
     return flat_table(rows, "$.edits[].steps[]", {"op": "string", "amount": "double", "mask.feather": "int"})
 
 
-QUERIES = {"p4_found": p4_found, "p4_edit_steps": p4_edit_steps}
-SQL: dict[str, str] = {}
+def p4_loose(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose parent is no row of the same document: there are none, every row can be joined with its parent."""
+    rows = p4_found(spark, folder)
+    parents = rows.select("source_field", "record_key", F.col("node_path").alias("parent_path"))
+    return rows.where("parent_path <> '$'").join(parents, ["source_field", "record_key", "parent_path"], "left_anti").select("source_field", "record_key", "node_path")
+
+
+QUERIES = {"p4_found": p4_found, "p4_edit_steps": p4_edit_steps, "p4_loose": p4_loose}
+SQL = {"p4_loose": "select '' as source_field, run_id as record_key, '' as node_path from ai_review_runs where false"}
