@@ -7,82 +7,121 @@ of items, so copies are counted and never expanded into pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.operators.components import connected_components
-from gleanframe.operators.duplicates import hamming_links
+from gleanframe.operators.duplicates import hamming_links, star_edges
 from gleanframe.operators.ordering import numbered
 from gleanframe.session import cut
 
 
 @dataclass(frozen=True)
 class Cells:
-    """``items``: (item, content, bits, own); an item without a content has a content of its own (``own``). ``cells``: (content,
-    bits, n, first), ``contents``: (content, items, first, second), ``prints``: (bits, items, first, content, second: the least item of
-    another content), ``links``: (a, b, distance) of different fingerprints, ``shared``: (content, a, b, distance, na, nb): links within a content."""
+    """``items``: (item, content, bits); an item without a content has one of its own. ``cells``: (content, bits, n, first, number, of), ``number``
+    being the place of the cell's first item among those of all cells and ``of`` that of its content's. ``contents``: (content, items, first,
+    second). ``prints``: (bits, items, one, two): the first item of a fingerprint and the first of another content, each as (number, of).
+    ``shared``: (content, a, b, na, nb): pairs of near fingerprints within a content. ``names``: (number, first)."""
 
     items: DataFrame
     cells: DataFrame
     contents: DataFrame
     prints: DataFrame
-    links: DataFrame
     shared: DataFrame
+    names: DataFrame
+    distance: int
 
 
 def cells_of_items(items: DataFrame, item: str, content: str, bits: str, distance: int) -> Cells:
     """``items``: one row an item; NULL contents can't be exact duplicates, NULL fingerprints can't be similar ones. Rows
     without an item are left out."""
-    known = items.where(F.col(item).isNotNull()).select(
-        F.col(item).alias("item"),
-        F.coalesce(F.concat(F.lit("c:"), F.col(content)), F.concat(F.lit("i:"), F.col(item))).alias("content"),
-        F.col(bits).alias("bits"),
-        F.col(content).isNull().alias("own"),
+    known = cut(
+        items.where(F.col(item).isNotNull()).select(
+            F.col(item).alias("item"),
+            F.coalesce(F.concat(F.lit("c:"), F.col(content)), F.concat(F.lit("i:"), F.col(item))).alias("content"),
+            F.col(bits).alias("bits"),
+        )
     )
-    known = cut(known)
     n = F.count(F.lit(1))
-    cells = cut(known.groupBy("content", "bits").agg(n.alias("n"), F.min("item").alias("first")))
-    least = cells.groupBy("content").agg(F.sum("n").alias("items"), F.min("first").alias("first"))
+    plain = cut(known.groupBy("content", "bits").agg(n.alias("n"), F.min("item").alias("first")))
+    least = plain.groupBy("content").agg(F.sum("n").alias("items"), F.min("first").alias("first"))
     second = known.join(least, "content").where(F.col("item") != F.col("first")).groupBy("content").agg(F.min("item").alias("second"))
     contents = cut(least.join(second, "content", "left"))
+    # An item is in one cell, so the first items of cells are told apart by their numbers, which are smaller than names.
+    names = cut(numbered(plain.select("first"), [F.col("first")]))
+    of = contents.select("content", "first").join(names, "first").select("content", F.col("number").alias("of"))
+    cells = cut(plain.join(names, "first").join(of, "content"))
     printed = cells.where("bits is not null")
-    of = printed.groupBy("bits").agg(F.sum("n").alias("items"), F.min(F.struct("first", "content")).alias("one"))
-    other = printed.join(of, "bits").where(F.col("content") != F.col("one.content")).groupBy("bits").agg(F.min(F.struct("first", "content")).alias("two"))
-    prints = cut(of.join(other, "bits", "left"))
-    links = cut(hamming_links(prints.select("bits", F.col("bits").alias("h")), "bits", "h", distance))
+    one = printed.groupBy("bits").agg(F.sum("n").alias("items"), F.min(F.struct("number", "of")).alias("one"))
+    two = printed.join(one, "bits").where(F.col("of") != F.col("one.of")).groupBy("bits").agg(F.min(F.struct("number", "of")).alias("two"))
+    prints = cut(one.join(two, "bits", "left"))
     several = printed.join(printed.groupBy("content").agg(n.alias("k")).where("k > 1"), "content", "left_semi").select("content", "bits", "n")
     a, b = several.alias("a"), several.alias("b")
-    apart = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).cast("int")
+    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= distance
     shared = cut(
-        a.join(b, (F.col("a.content") == F.col("b.content")) & (F.col("a.bits") < F.col("b.bits")) & (apart <= distance)).select(
-            F.col("a.content").alias("content"), F.col("a.bits").alias("a"), F.col("b.bits").alias("b"), apart.alias("distance"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")
+        a.join(b, (F.col("a.content") == F.col("b.content")) & (F.col("a.bits") < F.col("b.bits")) & near).select(
+            F.col("a.content").alias("content"), F.col("a.bits").alias("a"), F.col("b.bits").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")
         )
     )
-    return Cells(known, cells, contents, prints, links, shared)
+    return Cells(known, cells, contents, prints, shared, names, distance)
+
+
+_CANDIDATE = "bits bigint, items bigint, distance int, number bigint, of bigint"
+
+
+def _best_two(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every 64 batches of candidates each fingerprint's first one and its first of another content; items are added up."""
+    for batches in batched(stream, 64):
+        table = pa.Table.from_batches(batches)
+        if not table.num_rows:
+            continue
+        bits, items, distance, number, of = (table[i].to_numpy() for i in range(5))
+        order = np.lexsort((number, distance, bits))
+        bits, items, distance, number, of = bits[order], items[order], distance[order], number[order], of[order]
+        who, first = np.unique(bits, return_index=True)
+        group = np.repeat(np.arange(len(who)), np.diff([*first, len(bits)]))
+        total = np.add.reduceat(items, first)
+        other = np.flatnonzero(of != of[first][group])
+        apart, at = np.unique(group[other], return_index=True)
+        second = other[at]
+        rows = np.concatenate([first, second])
+        sums = np.concatenate([total, np.zeros(len(second), np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(bits[rows]), pa.array(sums), pa.array(distance[rows]), pa.array(number[rows]), pa.array(of[rows])], ["bits", "items", "distance", "number", "of"])
+
+
+def _around(c: Cells) -> DataFrame:
+    """(bits, items, distance, number, of): for each fingerprint the first items, and the first ones of other contents, of those
+    around it, itself included, and how many items these have. The links carry all this and are reduced where they arise, as there
+    are many more of them than fingerprints."""
+    links = hamming_links(c.prints.select(F.struct("bits", "items", "one", "two").alias("k"), "bits"), "k", "bits", c.distance)
+    way = lambda of, to: F.struct(F.col(f"{of}.bits").alias("bits"), F.col(to).alias("to"), "distance")
+    every = links.select(F.inline(F.array(way("a", "b"), way("b", "a")))).unionByName(c.prints.select("bits", F.struct("bits", "items", "one", "two").alias("to"), F.lit(0).alias("distance")))
+    candidate = lambda which, items: F.struct(items.alias("items"), "distance", F.col(f"to.{which}.number").alias("number"), F.col(f"to.{which}.of").alias("of"))
+    both = every.select("bits", F.inline(F.array(candidate("one", F.col("to.items")), candidate("two", F.lit(0).cast("bigint")))))
+    return cut(both.where("number is not null").mapInArrow(_best_two, _CANDIDATE))
 
 
 def _near(c: Cells) -> DataFrame:
-    """(content, bits, similar, distance, peer) of the cells: items of other contents within the distance, the least distance
+    """(content, bits, n, similar, distance, peer) of the cells: items of other contents within the distance, the least distance
     and the first item there."""
-    # Each fingerprint with those around it, itself included; candidates: its first item, and the first of another content.
-    ways = c.links.select(F.inline(F.array(F.struct(F.col("a").alias("bits"), F.col("b").alias("to"), "distance"), F.struct(F.col("b").alias("bits"), F.col("a").alias("to"), "distance"))))
-    to = c.prints.select(F.col("bits").alias("to"), "items", "one", "two")
-    around = ways.join(to, "to").drop("to").unionByName(to.select(F.col("to").alias("bits"), F.lit(0).alias("distance"), "items", "one", "two"))
-    candidate = lambda of: F.when(F.col(of).isNotNull(), F.struct("distance", F.col(f"{of}.first").alias("peer"), F.col(f"{of}.content").alias("of")))
-    around = cut(around.select("bits", "items", candidate("one").alias("x"), candidate("two").alias("y")))
-    first = around.groupBy("bits").agg(F.sum("items").alias("items"), F.min("x").alias("x"))
-    second = around.join(first.select("bits", F.col("x.of").alias("taken")), "bits").groupBy("bits").agg(
-        F.min(F.when(F.col("x.of") != F.col("taken"), F.col("x"))).alias("p"), F.min(F.when(F.col("y.of") != F.col("taken"), F.col("y"))).alias("q")
-    )
-    both = first.join(second.select("bits", F.least("p", "q").alias("y")), "bits")
+    around = _around(c)
+    place = F.struct("distance", "number", "of")
+    first = cut(around.groupBy("bits").agg(F.sum("items").alias("items"), F.min(place).alias("x")))
+    second = around.join(first.select("bits", F.col("x.of").alias("taken")), "bits").where("of <> taken").groupBy("bits").agg(F.min(place).alias("y"))
+    both = first.join(second, "bits", "left")
     own = c.shared.select(F.inline(F.array(F.struct("content", F.col("a").alias("bits"), F.col("nb").alias("same")), F.struct("content", F.col("b").alias("bits"), F.col("na").alias("same")))))
     own = own.groupBy("content", "bits").agg(F.sum("same").alias("same"))
-    best = F.when(F.col("x.of") != F.col("content"), F.col("x")).otherwise(F.col("y"))
+    best = F.when(F.col("x.of") != F.col("of"), F.col("x")).otherwise(F.col("y"))
     found = c.cells.where("bits is not null").join(both, "bits").join(own, ["content", "bits"], "left").withColumn("best", best)
     similar = F.col("items") - F.col("n") - F.coalesce("same", F.lit(0))
-    return found.select("content", "bits", "n", similar.alias("similar"), F.col("best.distance").alias("distance"), F.col("best.peer").alias("peer")).where("similar > 0")
+    counted = found.select("content", "bits", "n", similar.alias("similar"), F.col("best.distance").alias("distance"), F.col("best.number").alias("number")).where("similar > 0")
+    return counted.join(c.names.withColumnRenamed("first", "peer"), "number").drop("number")
 
 
 def item_matches(c: Cells) -> DataFrame:
@@ -105,7 +144,8 @@ def item_matches(c: Cells) -> DataFrame:
 def item_labels(c: Cells) -> DataFrame:
     """(content, bits, label): the component of each cell, over contents and fingerprints as vertices."""
     print_of = lambda name: F.concat(F.lit("h:"), F.col(name).cast("string"))
-    edges = c.cells.where("bits is not null").select(F.col("content").alias("u"), print_of("bits").alias("v")).unionByName(c.links.select(print_of("a").alias("u"), print_of("b").alias("v")))
+    links = hamming_links(c.prints.select("bits", F.col("bits").alias("h")), "bits", "h", c.distance)
+    edges = c.cells.where("bits is not null").select(F.col("content").alias("u"), print_of("bits").alias("v")).unionByName(star_edges(links.select(print_of("a").alias("a"), print_of("b").alias("b"))))
     labels = connected_components(edges)
     return c.cells.join(labels, c.cells["content"] == labels["v"], "left").select("content", "bits", F.coalesce("label", "content").alias("label"))
 

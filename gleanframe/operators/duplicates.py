@@ -119,11 +119,16 @@ def _stars(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names[label[away]], pa.string()), pa.array(names[away], pa.string())], ["u", "v"])
 
 
-def linked_labels(links: DataFrame) -> DataFrame:
-    """(v, label) as connected_components gives it of ``links`` (a, b: strings). Many links of few items are reduced to stars
-    where they arise, so that they aren't kept."""
+def star_edges(links: DataFrame) -> DataFrame:
+    """(u, v) that connect what ``links`` (a, b: strings) connect. Many links of few items are reduced to stars where they
+    arise, so that they aren't kept."""
     edges = links.where("a is not null and b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return connected_components(edges.mapInArrow(_stars, "u string, v string"))
+    return edges.mapInArrow(_stars, "u string, v string")
+
+
+def linked_labels(links: DataFrame) -> DataFrame:
+    """(v, label) as connected_components gives it of ``links`` (a, b: strings), by way of ``star_edges``."""
+    return connected_components(star_edges(links))
 
 
 def duplicate_groups(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
